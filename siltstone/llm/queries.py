@@ -6,6 +6,7 @@ from .decontamination import op1_decontamination
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .language import op8_language_id
 from .licences import OP9_SQL, op9_licences
+from .minhash_dedup import op4_minhash_dedup
 from .mixing import op2_mixing
 from .token_files import op10_token_files
 from .toxicity import op3_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op9_licences": op9_licences,
