@@ -8,6 +8,7 @@ from .language import op8_language_id
 from .licences import OP9_SQL, op9_licences
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op2_mixing
+from .passages import op6_repeated_passages
 from .token_files import op10_token_files
 from .toxicity import op3_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op9_licences": op9_licences,

@@ -38,6 +38,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(_SEPARATORS)] = True
+_IS_WHITE = np.zeros(256, dtype=bool)
+_IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_VALUE = np.array([_mix_int(i) | 1 for i in range(256)], dtype=np.uint64)
 _P = _mix_int(1001) | 1
 _P_INV = pow(_P, -1, 2**64)
@@ -80,13 +82,16 @@ def normal_bytes(raw: np.ndarray) -> np.ndarray:
     return low
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, the n+1 word offsets of the texts, and each word's first byte and end within its text's bytes in the column."""
+def words(column: pa.Array, white_space_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, the n+1 word offsets of the texts, and each word's first byte and end in the column's bytes.
+
+    With ``white_space_only`` words are what ASCII white space separates, and A-Z alone are lower-cased.
+    """
     raw, offsets = text_buffer(column)
-    low = normal_bytes(raw) if len(raw) else raw
+    low = _LOWER[raw] if white_space_only else normal_bytes(raw) if len(raw) else raw
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sep = _IS_SEPARATOR[low]
+    sep = (_IS_WHITE if white_space_only else _IS_SEPARATOR)[low]
     edge = np.empty(len(raw), bool)  # a word may begin here
     edge[0] = True
     edge[1:] = sep[:-1]
