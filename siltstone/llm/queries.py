@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .language import op8_language_id
+from .language_model import op5_language_model
 from .licences import OP9_SQL, op9_licences
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op2_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_language_model": op5_language_model,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
