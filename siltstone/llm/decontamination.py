@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,44 +119,62 @@ def count_grams(docs: DataFrame, items) -> dict[int, int]:
     return {r.g & (2**64 - 1): r.n for r in rows}
 
 
+def matches(it: Items, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
+    """(row, item_id, score, first word, end word) for each text and item that align well: the best place of each."""
+    out = []
+    h, at, _, _ = words(texts)
+    g, whole = ngrams(h, at, it.n)
+    places, seeds = find(g, whole, it.seeds, it.filter)
+    doc = np.searchsorted(at, places, side="right") - 1
+    hits = defaultdict(list)
+    for p, k, d in zip(places.tolist(), seeds.tolist(), doc.tolist()):
+        for i, q in it.places[k]:
+            hits[d, i].append((p, q))
+    for (d, i), got in hits.items():
+        m, best, first = len(it.words[i]), (0.0, 0, 0), 0
+        for j in range(1, len(got) + 1):  # seeds less than two lengths of the item apart stand together
+            if j < len(got) and got[j][0] - got[j - 1][0] <= 2 * m:
+                continue
+            near, first = got[first:j], j
+            if len({q for _, q in near}) < it.need[i]:
+                continue
+            lo, hi = max(int(at[d]), near[0][0] - m), min(int(at[d + 1]), near[-1][0] + it.n + m)
+            s, b, e = smith_waterman(it.words[i], h[lo:hi])
+            score = s / (MATCH * m)
+            if score > best[0]:
+                best = (score, lo + b - int(at[d]), lo + e - int(at[d]))
+        if best[0] >= MIN_SCORE:
+            out.append((d, it.ids[i], *best))
+    return out
+
+
 def align(docs: DataFrame, items) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) for each text and item that align well: the best place of each."""
+    """(doc_id, item_id, score, start_word, end_word) of all matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = items.value
         for batch in batches:
             for x in slices(batch, "text"):
-                out = []
-                h, at, _, _ = words(x.column("text"))
-                g, whole = ngrams(h, at, it.n)
-                places, seeds = find(g, whole, it.seeds, it.filter)
-                doc = np.searchsorted(at, places, side="right") - 1
-                hits = defaultdict(list)
-                for p, k, d in zip(places.tolist(), seeds.tolist(), doc.tolist()):
-                    for i, q in it.places[k]:
-                        hits[d, i].append((p, q))
-                for (d, i), got in hits.items():
-                    m, best = len(it.words[i]), (0.0, 0, 0)
-                    first = 0
-                    for j in range(1, len(got) + 1):  # seeds less than two lengths of the item apart stand together
-                        if j < len(got) and got[j][0] - got[j - 1][0] <= 2 * m:
-                            continue
-                        near, first = got[first:j], j
-                        if len({q for _, q in near}) < it.need[i]:
-                            continue
-                        lo, hi = max(int(at[d]), near[0][0] - m), min(int(at[d + 1]), near[-1][0] + it.n + m)
-                        s, b, e = smith_waterman(it.words[i], h[lo:hi])
-                        score = s / (MATCH * m)
-                        if score > best[0]:
-                            best = (score, lo + b - int(at[d]), lo + e - int(at[d]))
-                    if best[0] >= MIN_SCORE:
-                        out.append((d, it.ids[i], *best))
+                out = matches(items.value, x.column("text"))
                 ids = x.column("doc_id").take(pa.array([o[0] for o in out], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids] + [pa.array([o[k] for o in out], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
+def item_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast blocks of the benchmark's items, their seeds chosen by counts over all texts."""
+    spark = docs.sparkSession
+    usable = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    size = usable.agg(F.sum(F.size(F.split("text", "\\s+"))).alias("w")).first().w or 0
+    blocks = max(1, -(-size // BLOCK_WORDS))
+    texts = docs.count() if size else 0
+    for b in range(blocks):
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        it = Items([r.item_id for r in rows], [r.text for r in rows])
+        it.choose(count_grams(docs, spark.sparkContext.broadcast(it)), texts)
+        yield spark.sparkContext.broadcast(it)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Training texts that hold a benchmark item or an edited copy of it: (doc_id, item_id, score, start_word, end_word).
 
@@ -165,20 +184,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches again, and a repeated item_id its own; a text has one row for each item, its best place (ties: the first).
     Other columns are not read. Benchmarks beyond ``BLOCK_WORDS`` words are searched in blocks.
     """
-    spark = docs.sparkSession
-    usable = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = usable.agg(F.sum(F.size(F.split("text", "\\s+"))).alias("w")).first().w or 0
-    blocks = max(1, -(-size // BLOCK_WORDS))
-    texts = docs.count() if size else 0
     out = None
-    for b in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        it = Items([r.item_id for r in rows], [r.text for r in rows])
-        it.choose(count_grams(docs, spark.sparkContext.broadcast(it)), texts)
-        found = align(docs, spark.sparkContext.broadcast(it))
+    for items in item_blocks(docs, benchmark):
+        found = align(docs, items)
         out = found if out is None else out.union(found)
     return out
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text ``contaminated`` finds in no item; null texts stay. Nothing is shuffled but counts."""
+    for items in item_blocks(docs, benchmark):
+
+        @F.pandas_udf("boolean")
+        def hit(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in column:
+                out = np.zeros(len(texts), bool)
+                batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
+                at = 0
+                for x in slices(batch, "text"):
+                    out[[at + m[0] for m in matches(items.value, x.column("text"))]] = True
+                    at += x.num_rows
+                yield pd.Series(out)
+
+        docs = docs.where(~hit("text"))
+    return docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -24,9 +24,9 @@ from .tokens import slices, text_buffer, words
 #: Words whose counts every worker holds; the counts of all others meet their words in a join.
 HELD_WORDS = 262_144
 #: Words that the recurrent model tells apart, and its tail classes.
-MODEL_WORDS, TAILS = 8_192, 64
+MODEL_WORDS, TAILS = 4_096, 32
 #: One training text in so many is read by the trainers, chosen by a hash of doc_id; the share is the same at any size.
-TRAINED_SHARE = 20
+TRAINED_SHARE = 16
 #: Bytes of training text for each trainer, the most trainers, and rounds.
 TRAINER_BYTES, MOST_TRAINERS, ROUNDS = 10 << 20, 1024, 2
 COUNTED_AT_ONCE = 3_000_000

@@ -11,9 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 CLASS_WORDS = 128
-HIDDEN = 32
-LANES_TRAINING, LANES_SCORING = 96, 256
-WINDOW_TRAINING, WINDOW_SCORING = 24, 32
+HIDDEN = 24
+LANES_TRAINING, LANES_SCORING = 64, 256
+WINDOW_TRAINING, WINDOW_SCORING = 16, 32
 RATE = 0.08
 
 
@@ -38,7 +38,8 @@ def start(counts: np.ndarray, tails: int, seed: int = 7) -> dict[str, np.ndarray
     p["wc"] *= 0.1
     by_class = np.concatenate([np.add.reduceat(counts[:words], np.arange(0, words, CLASS_WORDS)) if words else np.zeros(0), counts[words:]]).astype(float)
     p["bc"] = np.log((by_class + 1) / (by_class + 1).sum()).astype(np.float32)
-    p["bw"] = np.log(counts[:words] + 1.0).astype(np.float32)
+    first = np.arange(words) // CLASS_WORDS * CLASS_WORDS  # the most frequent word of each class
+    p["bw"] = np.log((counts[:words] + 1.0) / (counts[first] + 1.0)).astype(np.float32)
     return p
 
 
@@ -141,8 +142,8 @@ def token_class(token: np.ndarray, words: int) -> np.ndarray:
 
 def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, token: np.ndarray, words: int) -> np.ndarray:
     """Natural log of each token's probability given the state that predicts it."""
-    logits = states @ p["wc"] + p["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
+    logits = states @ p["wc"]  # sums of exponentials need no shift: states are within 1, and start() centres the biases
+    logits += p["bc"]
     pick = logits[np.arange(len(token)), token_class(token, words)]
     np.exp(logits, out=logits)
     out = (pick - np.log(logits.sum(axis=1))).astype(np.float64)
@@ -150,8 +151,8 @@ def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, token: np.nd
     for c, a, b in groups:
         lo, hi = c * CLASS_WORDS, min(words, (c + 1) * CLASS_WORDS)
         rows = at[a:b]
-        x = states[rows] @ p["ww"][lo:hi].T + p["bw"][lo:hi]
-        x -= x.max(axis=1, keepdims=True)
+        x = states[rows] @ p["ww"][lo:hi].T
+        x += p["bw"][lo:hi]
         own = x[np.arange(len(rows)), token[rows] - lo]
         np.exp(x, out=x)
         out[rows] += own - np.log(x.sum(axis=1))
@@ -208,12 +209,15 @@ class Trainer:
         self.tokens += len(ids)
 
     def gradients(self, before: np.ndarray, token: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients of the mean negative log probability in a window; rows of x and ww come with their places."""
+        """Gradients of a window's negative log probability over the tokens of a full window; rows of x and ww come with their places.
+
+        So a window in which few lanes are left moves the weights little.
+        """
         p, words, k = self.p, self.words, HIDDEN
         begin = words + self.tails
         states, last, cache = forward(p, before, begin, h, True)
         hs, tok = states[valid], token[valid]
-        m = np.float32(max(1, len(tok)))
+        m = np.float32(WINDOW_TRAINING * LANES_TRAINING)
         soft = _soft(hs @ p["wc"] + p["bc"])
         cls = token_class(tok, words)
         loss = -float(np.log(soft[np.arange(len(tok)), cls] + 1e-30).sum())

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,6 +225,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
 _ready: dict[object, Grammar] = {}
 
 
+def _grammar(insults: dict[str, float]) -> Grammar:
+    key = tuple(sorted(insults.items()))
+    if key not in _ready:
+        _ready.clear()
+        _ready[key] = Grammar(insults)
+    return _ready[key]
+
+
 def with_features(df: DataFrame, insults: dict[str, float], text: str = "text") -> DataFrame:
     """``df`` without the text, with the summed clause weights of each row."""
     shared = df.sparkSession.sparkContext.broadcast(insults)
@@ -233,12 +242,7 @@ def with_features(df: DataFrame, insults: dict[str, float], text: str = "text")
         schema = schema.add(f, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        insults = shared.value
-        key = tuple(sorted(insults.items()))
-        if key not in _ready:
-            _ready.clear()
-            _ready[key] = Grammar(insults)
-        g = _ready[key]
+        g = _grammar(shared.value)
         for x in batches:
             f = np.array([g.features(t) for t in x.column(text).to_pylist()], float).reshape(x.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([x.column(c) for c in rest] + [pa.array(f[:, i].copy()) for i in range(len(FEATURES))], names=rest + FEATURES)
@@ -264,6 +268,24 @@ def score_toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray]) ->
     return out.select(*rest, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` that ``score_toxicity`` predicts 0 for, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        insults, weights = shared.value
+        g = _grammar(insults)
+        for texts in column:
+            x = np.array([g.features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
+            z = np.full(len(texts), weights[-1])
+            for i in range(len(FEATURES)):
+                z += weights[i] * np.log1p(x[:, i])
+            yield pd.Series(1 / (1 + np.exp(-z)))
+
+    return docs.where(score("text") < THRESHOLD)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 3) != 1)
