@@ -125,7 +125,7 @@ def _scheduled(rows: DataFrame, narrow: DataFrame, weights, block_bytes: int, pe
     table = [(s, count[s], [tuple(p[k] for k in ("phase", "first", "end", "base", "period", "n", "slots")) for p in ps]) for s, ps in sorted(phases.items())]
     plan = F.broadcast(spark.createDataFrame(table, f"_g string, _count long, _plan {plan_type}"))
 
-    piece = lambda d: d.withColumn("_piece", F.floor((F.shiftrightunsigned("_h", 33).cast("double") / 2.0**31) * pieces).cast("int"))
+    piece = lambda d: d.withColumn("_piece", F.floor((F.shiftright("_h", 33) + 2.0**30) / 2.0**31 * pieces).cast("int"))
     sums = piece(narrow).groupBy("_g", "_piece").agg(F.sum("_b").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy("_g").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("_g", "_piece", before.alias("_before"))
