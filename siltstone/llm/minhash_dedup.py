@@ -29,10 +29,8 @@ RARE_SHARE = 0.002
 COUNTED_AT_ONCE = 4_000_000
 #: Members of a leader that are compared in one task.
 MEMBERS = 2_000
-#: Texts of a bucket, beyond its leader's, that are compared by signature in one task.
-BLOCK = 2_048
-#: Signature agreement below which two texts of a bucket are no candidates; at 0.8 it is missed once in 100,000 pairs.
-MIN_AGREEMENT = 0.6
+#: Texts of a bucket, beyond its leader's, that are compared with each other in one task.
+BLOCK = 1_024
 
 _ODD = np.array([_mix_int(5000 + k) | 1 for k in range(SAMPLES)], dtype=np.uint64)
 _pool: dict[str, np.ndarray] = {}
@@ -118,7 +116,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """(doc_id, d1, d2, bands, sig) of each text with a word: a digest of its shingles, band keys and the samples' low bits."""
+    """(doc_id, d1, d2, bands) of each text with a word: a digest of its shingles and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_of, pool = weights.value, _draws()
@@ -149,11 +147,10 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
                 band = mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.int64)
                 tagged = g + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 d1, d2 = (np.add.reduceat(mix(tagged ^ np.uint64(c)), start).astype(np.int64) for c in (0x1234567, 0x89ABCDEF01))
-                short = (m & np.uint64(0xFFFF)).astype("<u2")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))
-                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(pa.array(some)), pa.array(d1), pa.array(d2), lists, pa.array([r.tobytes() for r in short], pa.binary())], names=["doc_id", "d1", "d2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(pa.array(some)), pa.array(d1), pa.array(d2), lists], names=["doc_id", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -200,49 +197,80 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return rows.mapInArrow(run, "leader long, member long, distance double").groupBy("leader", "member").agg(F.min("distance").alias("distance"))
 
 
-def rival_pairs(left: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of a bucket's texts that may be similar and are not known to be connected, by their signatures.
-
-    ``left``: (bucket, member, far, component). A bucket is dealt out in blocks, so no task holds more than two of them.
+class Block:
+    """Weighted shingles of the texts of a block, for exact comparison of one with many."""
+
+    def __init__(self, values: np.ndarray, weights: np.ndarray, offsets: np.ndarray):
+        _, self.at = np.unique(values, return_inverse=True)
+        self.w, self.off = weights, offsets
+        self.total = np.add.reduceat(np.append(weights, 0.0), offsets[:-1]) * (np.diff(offsets) > 0)
+        self.dense = np.zeros(int(self.at.max(initial=-1)) + 1)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the rising places ``others`` that are similar to text i."""
+        mine = slice(self.off[i], self.off[i + 1])
+        small, large = np.minimum(self.total[others], self.total[i]), np.maximum(self.total[others], self.total[i])
+        others = others[small >= (MIN_JACCARD - 1e-9) * large]
+        if not len(others):
+            return others
+        self.dense[self.at[mine]] = self.w[mine]
+        n = np.diff(self.off)[others]
+        start = np.concatenate(([0], np.cumsum(n)[:-1]))
+        flat = np.arange(int(n.sum())) + np.repeat(self.off[others] - start, n)
+        common = np.add.reduceat(np.minimum(self.dense[self.at[flat]], self.w[flat]), start)
+        self.dense[self.at[mine]] = 0.0
+        return others[common >= (MIN_JACCARD - 1e-12) * (self.total[others] + self.total[i] - common)]
+
+
+def rival_links(left: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """Links (a, b) between a bucket's texts that its leader leaves open, enough of them to connect whom they connect.
+
+    ``left``: (bucket, member, far, distance, component). Two texts are compared if one is far from the leader, their
+    distances to it allow a link and they are not known to be connected. A bucket is dealt out in blocks, so a task holds
+    two blocks at a time, and only links leave it, one for each two components that they join.
     """
-    counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    counts = left.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("n > 1").drop("n")
     i = F.pmod(F.xxhash64("member"), F.col("nb")).cast("int")
     dealt = (
         left.join(counts, "bucket").withColumn("_i", i)
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("bucket", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), "_i", "member", "far", "component")
-        .join(sigs.select(F.col("rep").alias("member"), "sig"), "member")
+        .select("bucket", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), "_i", "member", "far", "distance", "component")
+        .join(texts.withColumnRenamed("doc_id", "member"), "member")
     )
     keys = ["bucket", "lo", "hi"]
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), SAMPLES)
-        block, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        far, comp = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        cross = len(np.unique(block)) > 1
-        out = []
-        for s in range(len(rows)):
-            o = np.arange(s + 1, len(rows))
-            o = o[(far[s] | far[o]) & (comp[s] != comp[o]) & ((block[o] != block[s]) if cross else True)]
-            if len(o):
-                o = o[(sig[o] == sig[s]).mean(axis=1) >= MIN_AGREEMENT]
-                out += [(int(min(ids[s], y)), int(max(ids[s], y))) for y in ids[o] if y != ids[s]]
+    def links(held: list[pa.RecordBatch], w_of: Weights) -> list[tuple[int, int]]:
+        x = pa.Table.from_batches(held).combine_chunks()
+        h, at, _, _ = words(x.column("text").chunk(0))
+        g, n, off = distinct_counts(*shingles(h, at, SHINGLE_WORDS))
+        block = Block(g, w_of.of(g, n), off)
+        part, ids, far, d, comp = (x.column(c).to_numpy() for c in ("_i", "member", "far", "distance", "component"))
+        comp, cross, out = comp.copy(), len(np.unique(part)) > 1, []
+        for s in range(len(ids)):
+            o = np.arange(s + 1, len(ids))
+            o = o[(far[s] | far[o]) & (comp[s] != comp[o]) & (np.abs(d[s] - d[o]) <= 1 - MIN_JACCARD + 1e-9) & ((part[o] != part[s]) | (not cross))]
+            for y in block.similar(s, o) if len(o) else o:
+                if comp[y] != comp[s]:
+                    out.append((int(ids[s]), int(ids[y])))
+                    comp[comp == comp[y]] = comp[s]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        make = lambda got: pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["leader", "member"])
+        w_of, now, held = weights.value, None, []
+        make = lambda got: pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
         for x in batches:
-            for *key, i, member, far, comp, sig in zip(*(x.column(c).to_pylist() for c in (*keys, "_i", "member", "far", "component", "sig"))):
-                if key != now:
-                    if len(rows) > 1:
-                        yield make(pairs(rows))
-                    now, rows = key, []
-                rows.append((i, member, far, comp, sig))
-        if len(rows) > 1:
-            yield make(pairs(rows))
+            k = np.stack([x.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+            edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1)))) if len(k) else []
+            for s, e in zip(edge, [*edge[1:], len(k)]):
+                if now != tuple(k[s]):
+                    if sum(y.num_rows for y in held) > 1:
+                        yield make(links(held, w_of))
+                    now, held = tuple(k[s]), []
+                held.append(x.slice(s, e - s))
+        if sum(y.num_rows for y in held) > 1:
+            yield make(links(held, w_of))
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "leader long, member long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -251,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal shingles are one class from the start and count once in what follows. In a band's bucket each class is
     compared with the leader, the smallest. Weighted Jaccard distance is a metric, so classes near the leader need no
     comparison with each other, and one near it needs none with one far from it unless their distances to it allow a link;
-    what remains is compared by signature and then exactly. Buckets of any size are dealt out in blocks.
+    what remains is compared in blocks.
     Texts without words (null and empty ones too) are never duplicates. A repeated doc_id is one document: its rows share a
     class. A null doc_id has a null class and is kept. Other columns are not read.
     """
@@ -260,7 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(frequent_shingles(rows))
     named = rows.where("doc_id is not null and text is not null")
     sigs = save(signatures(named, weights), "signatures")
-    reps = save(sigs.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    reps = save(sigs.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     # the rows of a repeated doc_id belong together
     same = sigs.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
     again = sigs.groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("doc_id")
@@ -271,20 +299,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = save(buckets.join(heads, "bucket").where("rep <> leader").select("bucket", "leader", F.col("rep").alias("member")), "buckets")
     pairs = held.select("leader", "member").distinct()
     wanted = held.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
-    texts = save(named.join(wanted, "doc_id"), "candidate-texts")
+    # wanted grows with the corpus: a merge join at every size
+    texts = save(named.join(wanted.hint("merge"), "doc_id"), "candidate-texts")
     first = save(verify(pairs, texts, weights), "first-links")
 
     linked = F.col("distance") <= 1 - MIN_JACCARD + 1e-12
     known = held.join(first, ["leader", "member"])
     border = known.where(~linked).groupBy("bucket").agg(F.min("distance").alias("_d"))
-    left = known.join(border, "bucket").where(~linked | (F.col("distance") >= F.col("_d") - (1 - MIN_JACCARD) - 1e-9)).select("bucket", "member", (~linked).alias("far"))
+    left = known.join(border, "bucket").where(~linked | (F.col("distance") >= F.col("_d") - (1 - MIN_JACCARD) - 1e-9)).select("bucket", "member", (~linked).alias("far"), "distance")
     links = first.where(linked).select(F.col("leader").alias("a"), F.col("member").alias("b")).union(repeats)
     comp = save(components(links, "near"), "near-first")
-    rivals = left.join(comp, F.col("member") == F.col("node"), "left").select("bucket", "member", "far", F.coalesce("component", "member").alias("component"))
-    more = rival_pairs(rivals, reps).join(first.select("leader", "member"), ["leader", "member"], "left_anti")
-    second = save(verify(save(more, "rivals"), texts, weights), "second-links").where(linked)
+    rivals = left.join(comp, F.col("member") == F.col("node"), "left").select("bucket", "member", "far", "distance", F.coalesce("component", "member").alias("component"))
+    second = save(rival_links(rivals, texts, weights), "second-links")
     if second.limit(1).count():
-        comp = components(links.union(second.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "near")
+        comp = components(links.union(second), "near")
     classes = reps.select("d1", "d2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
     of_doc = sigs.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id").join(of_doc, "doc_id", "left")
