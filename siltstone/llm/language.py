@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ DICTIONARY_BYTES = 96 << 10
 SLICE_BYTES = 1 << 10
 #: At most so many languages are learned, the most frequent ones; this bounds the dictionaries that each worker holds.
 MOST_LANGUAGES = 256
-LEVEL = 3
+LEVEL = 6
+#: What stands between letters; it is one space in texts and dictionaries, so that tables and noise weigh little.
+_BETWEEN = re.compile(r"[\W\d_]+")
 #: A prediction whose relative gain over the second language is below this is rejected.
 MIN_MARGIN = 0.02
 UNKNOWN = "und"
@@ -26,6 +29,11 @@ UNKNOWN = "und"
 BYTES_PER_LOGIT = 8.0
 
 
+def letters(text: str) -> bytes:
+    """Lower-cased words of letters with a space between."""
+    return _BETWEEN.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
+
+
 def learn_dictionaries(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, bytes]:
     """Per-language raw-content dictionaries from a bounded sample of labelled rows.
 
@@ -52,7 +60,7 @@ def learn_dictionaries(rows: DataFrame, lang: str = "lang", text: str = "text",
     )
     out: dict[str, bytes] = {}
     for r in sorted(got, key=lambda r: (r.lang, -r.r)):  # the first of the sample come last, where offsets are short
-        out[r.lang] = out.get(r.lang, b"") + r.t.encode() + b"\n"
+        out[r.lang] = out.get(r.lang, b"") + letters(r.t) + b"\n"
     return {k: v[-DICTIONARY_BYTES:] for k, v in sorted(out.items())}
 
 
@@ -71,7 +79,7 @@ class Classifier:
             self.compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode("utf-8", "surrogatepass")
+        raw = letters(text)
         return [len(c.compress(raw)) for c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
