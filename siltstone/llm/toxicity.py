@@ -31,6 +31,10 @@ MIN_LOG_ODDS = 3.0
 #: Contexts for each text; a word of copied passages has the same few contexts in all copies.
 MIN_CONTEXT_SHARE = 0.4
 MOST_INSULTS = 20_000
+#: Stems: first bytes of words, learned as words are if so many different words begin with them; longer ones go first.
+STEM_BYTES = (6, 5, 4)
+MIN_STEM_WORDS = 3
+STEM = b"*"
 THRESHOLD = 0.7
 
 # The closed classes of the grammar.
@@ -101,15 +105,23 @@ def text_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split()
 
 
+def stems(words: set[bytes], length: int) -> set[bytes]:
+    return {w[:length] + STEM for w in words if len(w) > length}
+
+
 class Grammar:
-    """Matches clauses of texts against the composed transducer."""
+    """Matches clauses of texts against the composed transducer. ``insults``: words, and stems that end with a star."""
 
-    def __init__(self, insults: dict[str, float]):
+    def __init__(self, insults: dict[bytes, float]):
+        self.stems = {n: {w[:-1]: x for w, x in insults.items() if w.endswith(STEM) and len(w) == n + 1} for n in STEM_BYTES}
+        self.stems = {n: x for n, x in self.stems.items() if x}
+        insults = {w.decode("utf-8", "replace"): x for w, x in insults.items() if not w.endswith(STEM)}
         self.symbol: dict[str, int] = {w: REPORT for w in REPORTS} | {w: NEGATION for w in NEGATIONS} | {w: TARGET for w in TARGETS}
         self.symbol |= {w: THREAT for w in THREATS} | {w: INSULT for w in insults}
         self.symbol |= {c: END for c in ".!?;|\n"}
         self.weight = {w: 4.0 for w in THREATS} | insults
         self.hot = frozenset(w.encode() for w in [*THREATS, *insults])
+        self.known: dict[str, int] = {}
         start, table = GRAMMAR
         states = {start: 0}
         for (s, _), (s2, _) in table.items():
@@ -120,13 +132,33 @@ class Grammar:
             self.move[states[s]][x] = (states[s2], y)
         self.targeted = [s[1] == 1 for s in states]
 
+    def hit(self, text: str) -> bool:
+        """Whether any word is an insult or a threat."""
+        words = set(text_words(text))
+        return not self.hot.isdisjoint(words) or any(not {w[:n] for w in words}.isdisjoint(found) for n, found in self.stems.items())
+
+    def symbol_of(self, piece: str) -> int:
+        """Words that no lexicon has are looked up by their stems; a stem's weight becomes the word's."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        for n, found in self.stems.items():
+            if len(raw) > n and raw[:n] in found:
+                self.weight.setdefault(piece, found[raw[:n]])
+                return INSULT
+        return OTHER
+
     def features(self, text: str | None) -> list[float]:
         out = [0.0] * len(FEATURES)
-        if not text or self.hot.isdisjoint(text_words(text)):
+        if not text or not self.hit(text):
             return out
-        symbol, state, clause, seen = self.symbol, 0, [], set()
+        symbol, known, state, clause, seen = self.symbol, self.known, 0, [], set()
         for piece in _PIECE.findall(text.lower() + "\n"):
-            x = symbol.get(piece, OTHER)
+            x = symbol.get(piece)
+            if x is None:
+                x = known.get(piece)
+                if x is None:
+                    if len(known) > 100_000:
+                        known.clear()
+                    x = known[piece] = self.symbol_of(piece)
             before = state
             state, y = self.move[state][x]
             if y in (INSULT, THREAT, NEGATED, REPORTED, BOTH):
@@ -146,7 +178,7 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.log1p(x)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept. One class alone gives its constant."""
     x = np.column_stack([scaled(x), np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -161,7 +193,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], np.ndarray]:
     """Insults with their log-odds, and the weights of the score, from labelled rows (doc_id, toxic).
 
     A bounded number of rows is chosen by a hash of doc_id. Rows with null labels, ids or texts teach nothing. Without
@@ -182,7 +214,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
         counts = (Counter(), Counter())
         for x in batches:
             for t, k in zip(x.column("text").to_pylist(), x.column("_toxic").to_pylist()):
-                counts[k].update(set(text_words(t)))
+                own = set(text_words(t))
+                counts[k].update(own)
+                for n in STEM_BYTES:
+                    counts[k].update(stems(own, n))
         both = list(counts[1])  # words of clean texts alone are no candidates anywhere
         for w in counts[0]:
             if w not in counts[1]:
@@ -206,17 +241,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
             for t in x.column("text").to_pylist():
                 w = [b"", *text_words(t), b""]
                 for i in range(1, len(w) - 1):
-                    if w[i] in shared.value:
-                        out.add((w[i], xxhash.xxh3_64_intdigest(w[i - 1] + b" " + w[i + 1]) >> 1))
+                    for name in (w[i], *(w[i][:n] + STEM for n in STEM_BYTES if len(w[i]) > n)):
+                        if name in shared.value:
+                            out.add((name, w[i], xxhash.xxh3_64_intdigest(w[i - 1] + b" " + w[i + 1]) >> 1))
             got = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], names=["w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in ((0, pa.binary()), (1, pa.binary()), (2, pa.int64()))], names=["w", "word", "c"])
 
-    varied = sample.where("_toxic = 1").mapInArrow(contexts, "w binary, c long").groupBy("w").agg(F.countDistinct("c").alias("n"))
+    seen = sample.where("_toxic = 1").mapInArrow(contexts, "w binary, word binary, c long")
+    varied = seen.groupBy("w").agg(F.countDistinct("c").alias("n"), F.countDistinct("word").alias("words")).where(F.col("n") >= MIN_CONTEXTS)
     insults = {}
-    for r in varied.where(F.col("n") >= MIN_CONTEXTS).collect():
+    for r in varied.collect():
         odds_, tox = candidates[bytes(r.w)]
-        if r.n >= MIN_CONTEXT_SHARE * tox:
-            insults[bytes(r.w).decode("utf-8", "replace")] = odds_
+        if r.n >= MIN_CONTEXT_SHARE * tox and (r.words >= MIN_STEM_WORDS or not bytes(r.w).endswith(STEM)):
+            insults[bytes(r.w)] = odds_
     rows = with_features(sample, insults).select("_toxic", *FEATURES).toPandas()
     drop_saved(sample)
     return insults, fit_logistic(rows[FEATURES].to_numpy(float), rows["_toxic"].to_numpy(float))
@@ -225,7 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
 _ready: dict[object, Grammar] = {}
 
 
-def _grammar(insults: dict[str, float]) -> Grammar:
+def _grammar(insults: dict[bytes, float]) -> Grammar:
     key = tuple(sorted(insults.items()))
     if key not in _ready:
         _ready.clear()
@@ -233,7 +270,7 @@ def _grammar(insults: dict[str, float]) -> Grammar:
     return _ready[key]
 
 
-def with_features(df: DataFrame, insults: dict[str, float], text: str = "text") -> DataFrame:
+def with_features(df: DataFrame, insults: dict[bytes, float], text: str = "text") -> DataFrame:
     """``df`` without the text, with the summed clause weights of each row."""
     shared = df.sparkSession.sparkContext.broadcast(insults)
     rest = [c for c in df.columns if c != text and c not in FEATURES]
@@ -257,7 +294,7 @@ def logistic(weights: np.ndarray):
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def score_toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
+def score_toxicity(df: DataFrame, model: tuple[dict[bytes, float], np.ndarray]) -> DataFrame:
     """(columns of ``df`` without text, score, predicted): predicted is 1 where the score is at least 0.7.
 
     Null and empty texts match no clause and have the score of the intercept. A row is judged by itself: repeats and ties
@@ -268,7 +305,7 @@ def score_toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray]) ->
     return out.select(*rest, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
+def accepted(docs: DataFrame, model: tuple[dict[bytes, float], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` that ``score_toxicity`` predicts 0 for, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
