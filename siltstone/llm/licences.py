@@ -62,7 +62,7 @@ def _prefilter_words(rows: list[tuple[str, int, list[str]]], share: float) -> li
     """
     left = set()
     for *_, b in rows:
-        need = max(1, -int(-(len(b) * share) // 1))
+        need = max(1, -int(-(len(b) * share - 1e-9) // 1))
         rare = sorted(b, key=lambda g: (-max(map(len, g.split())), g))
         left |= set(rare[: len(b) - need + 1])
     chosen = []
