@@ -237,12 +237,13 @@ class KVTable:
 
     def _runs_for(self, key) -> list[catalog.Run]:
         """Runs whose key bounds admit the key, newest level first."""
-        value = self.spark.createDataFrame([(key,)], T.StructType([T.StructField("k", self.key)]))
-        bounds = self.spark.createDataFrame([(r.sst_id, r.min_k, r.max_k) for r in self.m.runs], "id bigint, lo string, hi string") if self.m.runs else None
-        if bounds is None:
+        if isinstance(self.key, (T.IntegralType, T.StringType)):  # JSON holds these exactly; strings order by code point as by bytes
+            bounds = [(r, json.loads(r.min_k)["k"], json.loads(r.max_k)["k"]) for r in self.m.runs]
+            return sorted((r for r, lo, hi in bounds if lo <= key <= hi), key=lambda r: (r.level, -r.sst_id))
+        if not self.m.runs:
             return []
-        kind = f"k {self.key.simpleString()}"
-        k = F.lit(value.first()[0])
+        bounds = self.spark.createDataFrame([(r.sst_id, r.min_k, r.max_k) for r in self.m.runs], "id bigint, lo string, hi string")
+        kind, k = f"k {self.key.simpleString()}", F.lit(key).cast(self.key)
         ids = {r.id for r in bounds.where((F.from_json("lo", kind)["k"] <= k) & (k <= F.from_json("hi", kind)["k"])).collect()}
         return sorted((r for r in self.m.runs if r.sst_id in ids), key=lambda r: (r.level, -r.sst_id))
 

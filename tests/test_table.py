@@ -195,3 +195,18 @@ def test_pruning_by_bounds(spark, tmp_path):
     assert [r.sst_id for r in t._runs_for(15)] == [1]
     plan = t.get(15)._jdf.queryExecution().toString()
     assert "EqualTo(k,15)" in plan
+
+
+def test_bounds_of_other_key_types(spark, tmp_path):
+    import datetime
+
+    t = KVTable.open(spark, str(tmp_path), "a", "date", "string", SMALL)
+    day = lambda i: datetime.date(2020, 1, i)
+    for i in (0, 1):
+        t.put(spark.createDataFrame([(i * 5 + j, day(1 + i * 5 + j), str(j)) for j in range(5)], "seq bigint, k date, v string"))
+        t.flush()
+    assert [r.sst_id for r in t._runs_for(day(7))] == [1] and t.get(day(7)).first().v == "1"
+    s = KVTable.open(spark, str(tmp_path), "s", "string", "int", SMALL)
+    s.put(spark.createDataFrame([(0, "a", 1), (1, "é", 2), (2, "Z", 3)], "seq bigint, k string, v int"))
+    s.flush()
+    assert [s.get(k).first().v for k in ("a", "é", "Z", "b")] == [1, 2, 3, None]
