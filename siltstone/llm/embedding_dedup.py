@@ -72,14 +72,14 @@ def fit_cells(vectors: DataFrame) -> dict[int, np.ndarray]:
         return {}
     plan = spark.createDataFrame([(k, min(1.0, SAMPLE_PER_CELL * (-(-v // cell)) / v)) for k, v in big.items()], "label int, share double")
     part = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / 2.0**53) < F.col("share")
-    rows = vectors.join(F.broadcast(plan), "label").where(part).select("label", "id", "v").collect()
-    by: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: r.id):
-        by.setdefault(r.label, []).append(r.v)
+    rows = vectors.join(F.broadcast(plan), "label").where(part).select("label", "id", "v").toArrow()  # about SAMPLE_PER_CELL * MOST_CELLS vectors at most
+    labels, ids = rows.column("label").to_numpy(), rows.column("id").to_numpy()
     out = {}
-    for label, vs in by.items():
-        x, ok = unit_rows(pa.array(vs))
-        out[label] = spherical_kmeans(x[ok], -(-big[label] // cell))
+    for label in big:
+        own = np.flatnonzero(labels == label)
+        x, ok = unit_rows(rows.column("v").take(pa.array(own[np.argsort(ids[own], kind="stable")])).combine_chunks())
+        if ok.any():
+            out[label] = spherical_kmeans(x[ok], -(-big[label] // cell))
     return out
 
 

@@ -127,9 +127,8 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HELD_WORDS).toPandas()
-    h = top["h"].to_numpy(np.int64).astype(np.uint64)
-    c, tail = top["c"].to_numpy(np.int64), top["tail"].to_numpy(np.int64)
+    top = counts.orderBy(F.desc("c"), "h").limit(HELD_WORDS).toArrow()  # columns, no row objects on the driver
+    h, c, tail = (top.column(k).to_numpy().astype(t) for k, t in (("h", np.uint64), ("c", np.int64), ("tail", np.int64)))
     by = counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tokens, distinct = np.zeros(TAILS), np.zeros(TAILS)
     for r in by:
