@@ -24,7 +24,7 @@ MOST_SOURCES = 20_000
 #: Without given weights a source weighs its bytes to this power.
 EXPONENT = 0.5
 #: About so many rows are ranked in one task.
-RANKED_ROWS = 50_000
+RANKED_ROWS = 5_000
 NO_SOURCE = "\u0000"
 
 
