@@ -21,7 +21,7 @@ from . import recurrent
 from .shared import crc_mod, documents, drop_saved, save
 from .tokens import slices, text_buffer, words
 
-#: Words whose counts every worker holds; the counts of all others meet their words in a join.
+#: Words whose counts every worker holds, at most; the counts of all others meet their words in a join.
 HELD_WORDS = 262_144
 #: Words that the recurrent model tells apart, and its tail classes.
 MODEL_WORDS, TAILS = 4_096, 32
@@ -127,8 +127,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HELD_WORDS).toArrow()  # columns, no row objects on the driver
+    # the held words are those above a count, so that no task sends more of them than there are
+    band = F.floor(F.log2("c") * 64)
+    room, lowest = HELD_WORDS, None
+    for r in sorted(counts.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.b):  # at most 64 bands for each doubling
+        if r.n > room:
+            break
+        room, lowest = room - r.n, r.b
+    top = counts.where(F.lit(False) if lowest is None else band >= lowest).select("h", "c", "tail").toArrow()  # columns, no row objects on the driver
     h, c, tail = (top.column(k).to_numpy().astype(t) for k, t in (("h", np.uint64), ("c", np.int64), ("tail", np.int64)))
+    order = np.lexsort((h, -c))
+    h, c, tail = h[order], c[order], tail[order]
     by = counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tokens, distinct = np.zeros(TAILS), np.zeros(TAILS)
     for r in by:
