@@ -141,7 +141,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     by_text = matched.groupBy("doc_id").agg(F.collect_set(F.struct("place", "other", "there", "first", "prefix")).alias("suffixes"))
     found = save(grow(rows.join(by_text, "doc_id")), "passages")
     asked = found.where("stretch is not null")
-    twice = asked.groupBy("stretch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    # written, so that the join deals both sides out anew and may split a stretch that a third of all texts hold
+    twice = save(asked.groupBy("stretch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi"), "repeated-stretches")
     again = asked.select("doc_id", "start", "stop", "stretch").join(twice, "stretch").select("doc_id", "start", "stop", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     grown = found.where("stretch is null").groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))
     ahead = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
