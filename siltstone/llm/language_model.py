@@ -3,8 +3,8 @@
 Counts of all tokens of all training texts come first. The most frequent words are the model's word tokens; every other
 word, unknown ones too, belongs to one of TAILS tail classes by its last bytes. The recurrent model predicts tail classes
 as it does words, and within a tail class a word has its add-one share of the class's training tokens, so that the
-probabilities of all words and one unknown word for each tail class sum to one. Weights are learned by trainers that read
-a fixed share of all training texts, in rounds; after each round their weights are averaged.
+probabilities of all words and one unknown word for each tail class sum to one. Weights are learned by trainers that
+together read every training text, in rounds; after each round their weights are averaged.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import recurrent
-from .shared import crc_mod, documents, drop_saved, save
+from .shared import crc_mod, documents, save
 from .tokens import slices, text_buffer, words
 
 #: Words whose counts every worker holds, at most; the counts of all others meet their words in a join.
 HELD_WORDS = 262_144
 #: Words that the recurrent model tells apart, and its tail classes.
 MODEL_WORDS, TAILS = 4_096, 32
-#: One training text in so many is read by the trainers, chosen by a hash of doc_id; the share is the same at any size.
-TRAINED_SHARE = 16
+#: One training text in so many is read by the trainers: all of them.
+TRAINED_SHARE = 1
 #: Bytes of training text for each trainer, the most trainers, and rounds.
 TRAINER_BYTES, MOST_TRAINERS, ROUNDS = 10 << 20, 1024, 2
 COUNTED_AT_ONCE = 3_000_000
@@ -163,8 +163,7 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
     """Weights after all rounds. ``docs``: training texts; ``vocab``: a broadcast Vocabulary."""
     spark = docs.sparkSession
     words_, tails = vocab.value.model, TAILS
-    share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(TRAINED_SHARE)) == 0).select("doc_id", "text")
-    held = save(share, "lm-share")
+    held = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(TRAINED_SHARE)) == 0).select("doc_id", "text")
     size = held.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     trainers = min(MOST_TRAINERS, max(1, round(size / TRAINER_BYTES)))
     dealt = held.withColumn("_t", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers)).cast("int")).repartition(trainers, "_t").sortWithinPartitions("_t", F.xxhash64("doc_id"), "doc_id", "text").select("text")
@@ -196,7 +195,6 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
         rows = dealt.mapInArrow(run, "chunk int, tokens long, w binary").repartition("chunk").mapInArrow(average, "chunk int, w binary").collect()
         if rows:
             flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.chunk)])
-    drop_saved(held)
     return flat
 
 

@@ -104,3 +104,11 @@ def test_no_training_texts(spark):
     assert all(math.isfinite(r.score) for r in got)
     empty = frame(spark, []).withColumn("held_out", F.lit(False))
     assert L.score_documents(empty, empty).count() == 0
+
+
+def test_every_training_text_reaches_the_trainers(spark):
+    docs = frame(spark, corpus(60)).where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(16)) != 0)
+    v = L.vocabulary(L.count_tokens(docs))
+    first = R.pack(R.start(np.concatenate([v.c[: v.model], v.tail_tokens]), L.TAILS))
+    got = L.train(docs, spark.sparkContext.broadcast(v), first)
+    assert np.isfinite(got).all() and not np.array_equal(got, first)
