@@ -38,7 +38,7 @@ LN10 = float(np.log(10.0))
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of texts with an end after each, offsets of the texts, and each token's tail class."""
-    h, at, _, end = words(column, white_space_only=True)
+    h, at, begin, end = words(column, white_space_only=True)
     raw, _ = text_buffer(column)
     n = len(at) - 1
     off = at + np.arange(n + 1)
@@ -47,7 +47,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[where] = h
     if len(h):
         last = raw[end - 1].astype(np.int64)
-        prior = raw[np.maximum(end - 2, 0)].astype(np.int64)
+        prior = np.where(end - begin > 1, raw[np.maximum(end - 2, 0)], 0).astype(np.int64)
         tail[where] = (last * 31 + prior * 7) % TAILS
     return out, off, tail
 
@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "h long, tail short, c long").groupBy("h", "tail").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, tail short, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 class Vocabulary:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import edge_rows, frame, vocabulary
 from pyspark.sql import functions as F
 
@@ -112,3 +113,13 @@ def test_every_training_text_reaches_the_trainers(spark):
     first = R.pack(R.start(np.concatenate([v.c[: v.model], v.tail_tokens]), L.TAILS))
     got = L.train(docs, spark.sparkContext.broadcast(v), first)
     assert np.isfinite(got).all() and not np.array_equal(got, first)
+
+
+def test_a_word_has_one_row_whatever_stands_before_it(spark, monkeypatch):
+    monkeypatch.setattr(L, "COUNTED_AT_ONCE", 1)
+    texts = ["a", "x a", "x\na", "x\ta y", "\ra", "a a\na"] * 3
+    docs = frame(spark, list(enumerate(texts))).repartition(6, "doc_id")
+    want = Counter(w for t in texts for w in tokens(t))
+    assert sorted(r.c for r in L.count_tokens(docs).collect()) == sorted(want.values())
+    h, _, tail = L.tokens_of(pa.array(texts))
+    assert len(set(zip(h.tolist(), tail.tolist()))) == len(want)
