@@ -96,13 +96,20 @@ def compose(a: tuple[object, Table], b: tuple[object, Table]) -> tuple[object, T
 
 GRAMMAR = compose(compose(report_transducer(), negation_transducer()), clause_transducer())
 FEATURES = ["plain", "negated", "reported", "threat", "targeted", "clauses", "distinct"]
-_PIECE = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?;|\n]")
-_BREAKS = bytes(c if chr(c).isalnum() or c in b"'" or c >= 0x80 else 0x20 for c in range(256))
+_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_PIECE = re.compile(_WORD.pattern + r"|[.!?;|\n]")
+
+_FRAGMENTS = bytes(c if c < 0x80 and chr(c).isalnum() else 0x20 for c in range(256))
+
+
+def fragments(raw: bytes) -> list[bytes]:
+    """Runs of ASCII letters and digits. A word's runs are runs of every text that holds the word."""
+    return raw.translate(_FRAGMENTS).split()
 
 
 def text_words(text: str) -> list[bytes]:
-    """Lower-cased words, quick form, for lexicon look-up; the grammar reads ``_PIECE``."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split()
+    """Lower-cased words, as the grammar reads them."""
+    return " ".join(_WORD.findall(text.lower())).encode("utf-8", "surrogatepass").split()
 
 
 def stems(words: set[bytes], length: int) -> set[bytes]:
@@ -121,6 +128,9 @@ class Grammar:
         self.symbol |= {c: END for c in ".!?;|\n"}
         self.weight = {w: 4.0 for w in THREATS} | insults
         self.hot = frozenset(w.encode() for w in [*THREATS, *insults])
+        # a run of each word, and the stems that are runs, for a look at a text before it is split; without them every text is split
+        self.quick = frozenset(max(fragments(w), key=len, default=b"") for w in self.hot)
+        self.every = b"" in self.quick or any(fragments(w) != [w] for found in self.stems.values() for w in found)
         self.known: dict[str, int] = {}
         start, table = GRAMMAR
         states = {start: 0}
@@ -132,10 +142,10 @@ class Grammar:
             self.move[states[s]][x] = (states[s2], y)
         self.targeted = [s[1] == 1 for s in states]
 
-    def hit(self, text: str) -> bool:
-        """Whether any word is an insult or a threat."""
-        words = set(text_words(text))
-        return not self.hot.isdisjoint(words) or any(not {w[:n] for w in words}.isdisjoint(found) for n, found in self.stems.items())
+    def may_hit(self, low: str) -> bool:
+        """False only if no word of a lower-cased text is an insult or a threat."""
+        words = set(fragments(low.encode("utf-8", "surrogatepass")))
+        return self.every or not self.quick.isdisjoint(words) or any(not {w[:n] for w in words}.isdisjoint(found) for n, found in self.stems.items())
 
     def symbol_of(self, piece: str) -> int:
         """Words that no lexicon has are looked up by their stems; a stem's weight becomes the word's."""
@@ -148,10 +158,11 @@ class Grammar:
 
     def features(self, text: str | None) -> list[float]:
         out = [0.0] * len(FEATURES)
-        if not text or not self.hit(text):
+        low = (text or "").lower()
+        if not low or not self.may_hit(low):
             return out
         symbol, known, state, clause, seen = self.symbol, self.known, 0, [], set()
-        for piece in _PIECE.findall(text.lower() + "\n"):
+        for piece in _PIECE.findall(low + "\n"):
             x = symbol.get(piece)
             if x is None:
                 x = known.get(piece)

@@ -98,3 +98,27 @@ def test_nothing_to_learn(spark):
     model = T.learn(frame(spark, [(1, "a b")]), labels)
     assert model[0] == {} and T.score_toxicity(frame(spark, [(1, "a b")]), model).first().predicted == 0
     assert T.score_toxicity(frame(spark, []), model).count() == 0
+
+
+def test_insults_in_quotes_and_beside_punctuation(spark):
+    g = T.Grammar({b"fool": 2.0, b"vexor*": 1.0})
+    for t in ("'fool'", "\u2018fool\u2019", "\u201cfool\u201d", "\u00abfool\u00bb", "\u00a1fool!", "so\u2014fool\u2014so", "fool\u2026", "'vexornew", "\u00bfvexornew?", "'kill'"):
+        assert g.features(t)[5] == 1, t
+    assert T.text_words("\u00abFool\u00bb isn't _so_ 'bad'\u2014no.") == [b"fool", b"isn't", b"so", b"bad", b"no"]
+    rows, marks = corpus()
+    rows = [(i, " ".join(f"\u00ab{w}\u00bb" if w in BAD else w for w in t.split()), *rest) for i, t, *rest in rows]
+    model = T.learn(frame(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    assert {b.encode() for b in BAD} <= set(model[0])
+
+
+def test_quick_look_misses_no_match():
+    rng = random.Random(5)
+    glue = ["'", "\u2019", "\u00ab", "_", "-", " ", "\u2014", "\u00a1", "."]
+    for lexicon in ({b"fool": 2.0, "cr\u00e9tin".encode(): 1.0, b"d'oh": 1.0, b"vexor*": 1.0}, {"\u0434\u0443\u0440".encode(): 1.0}, {b"d'oh*": 1.0}):
+        g = T.Grammar(lexicon)
+        for _ in range(400):
+            text = "".join(rng.choice(["fool", "cr\u00e9tin", "d'oh", "vexornew", "\u0434\u0443\u0440", "so", "kill"]) + rng.choice(glue) for _ in range(3))
+            before = g.features(text)
+            g.may_hit, keep = (lambda low: True), g.may_hit
+            assert g.features(text) == before
+            g.may_hit = keep
