@@ -8,8 +8,11 @@ index, so that a reader of doc_id or n_tokens touches no id page, and a filter o
 
 from __future__ import annotations
 
+import codecs
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 from unicodedata import is_normalized
 
 import numpy as np
@@ -18,80 +21,164 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, fresh_path
-from .tokens import slices
+from .tokens import _IS_WHITE, slices, span_hashes, spans, text_buffer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a Python worker keeps; beyond it the table starts anew, so its memory is bounded.
+#: Words whose ids a Python worker keeps; beyond it the half that was used last stays, so its memory is bounded.
 CACHED_WORDS = 500_000
 #: Bytes of a row group and of a page in memory.
 ROW_GROUP = 32 << 20
 PAGE = 1 << 20
+#: Bytes of text that are encoded together.
+ENCODED_AT_ONCE = 2 << 20
 #: Letters below this one are lower-cased alike by Python and by the tokenizer.
 LATIN_END = "\u0180"
+#: The one letter below LATIN_END that becomes two.
+DOTTED = "\u0130"
 
-_state: dict[str, tuple] = {}
+_IS_ALNUM = np.array([i < 0x80 and chr(i).isalnum() for i in range(256)])
+_ready: dict[str, WordEncoder] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _state:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _state[path] = (Tokenizer.from_file(path), {})
-    return _state[path]
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; what it has learned of words serves later tasks too."""
+    if path not in _ready:
+        _ready[path] = WordEncoder(path)
+    return _ready[path]
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer whose pieces never cross white space and whose model knows no context beyond a piece.
 
-    A text is cut at ASCII white space; the ids of the text are those of its parts in turn. Each part is encoded by the
-    library once and its ids are kept. A part of lower-case letters goes straight to the model, with the byte alphabet
-    that the pre-tokenizer would use; any other part takes the whole way.
+    Texts are cut at ASCII white space, and a full stop or comma is cut off behind a letter or digit, where the tokenizer
+    always cuts; the ids of a text are those of its parts in turn. Parts are found by their hashes, straight in the Arrow
+    bytes, among those that the library has encoded before. New ones go to it: lower-case Latin letters many at a time to
+    its model, in the byte alphabet that the pre-tokenizer would use; any other part takes the whole way alone.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path)
-        self.model = self.tokenizer.model
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain: dict[str, str] = {}
-        self.ends = {c: self._part(c) for c in ".,"}
-
-    def _letters(self, word: str) -> bytes:
-        if not word.isascii():
-            self.plain = self.plain if len(self.plain) < 10_000 else {}
-            word = "".join(self.plain.get(c) or self.plain.setdefault(c, c if c.isascii() else self.alphabet.pre_tokenize_str(c)[0][0]) for c in word)
-        return np.array([t.id for t in self.model.tokenize(word)], dtype="<i4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<i4").tobytes()
-
-    def _new(self, raw: bytes) -> bytes:
-        part = raw.decode("utf-8", "surrogatepass")
-        body = part[:-1] if part[-1] in self.ends else part
-        if body.isalpha() and max(body) < LATIN_END and is_normalized("NFC", body) and (low := body.lower()).isalpha():
-            return self._letters(low) + self.ends.get(part[len(body) :], b"")
-        return self._part(part)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        known, out = self.known, []
-        for raw in text.encode("utf-8", "surrogatepass").split():
-            ids = known.get(raw)
-            if ids is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                ids = self._new(raw)
-                if len(raw) <= 64:
-                    known[raw] = ids
-            out.append(ids)
-        return b"".join(out)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        byte_level, alphabet = ByteLevel(add_prefix_space=False, use_regex=False), list(map(chr, range(256)))
+        for c in map(chr, range(0x80, ord(LATIN_END))):
+            for b, x in zip(c.encode(), byte_level.pre_tokenize_str(c)[0][0]):
+                alphabet[b] = x
+        self.alphabet = "".join(alphabet)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        #: Ids that end a word; without such a mark words are encoded one by one.
+        self.last = np.array([bool(suffix) and x.endswith(suffix) for x in names])
+        self.stops = [np.array(self._part(c), np.int32) for c in ".,"]
+        self.hash = np.zeros(0, np.uint64)
+        self.check = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+        self.turn = 0
+
+    def _part(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
+    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each part's begin and how many it has."""
+        easy = [p.isalpha() and (p.isascii() or (max(p) < LATIN_END and DOTTED not in p and is_normalized("NFC", p))) for p in parts]
+        first, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        got, hard = np.zeros(0, np.int32), range(len(parts))
+        if self.last.any() and any(easy):
+            low = " ".join(compress(parts, easy)).lower().encode()
+            ids = np.array(self.model.encode_batch_fast([codecs.charmap_decode(low, "strict", self.alphabet)[0]], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            mine = np.flatnonzero(easy)
+            if len(ends) == len(mine):
+                first[mine] = np.concatenate(([0], ends[:-1]))
+                size[mine] = ends - first[mine]
+                got, hard = ids, np.flatnonzero(~np.array(easy)).tolist()
+        rest, n = [got], len(got)
+        for i in hard:
+            x = self._part(parts[i])
+            first[i], size[i], n = n, len(x), n + len(x)
+            rest.append(np.array(x, np.int32))
+        return np.concatenate(rest), first, size
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
+        """Add parts with rising hashes."""
+        whole = raw.tobytes()
+        ids, first, size = self._new([whole[s:e].decode("utf-8", "surrogatepass") for s, e in zip(start.tolist(), end.tolist())])
+        if len(self.hash) + len(h) > CACHED_WORDS:  # the half that was used last stays
+            keep = np.flatnonzero(self.used >= np.sort(self.used)[len(self.used) // 2]) if len(self.used) else np.zeros(0, np.int64)
+            keep = keep[np.argsort(-self.used[keep], kind="stable")[: CACHED_WORDS // 2]]
+            keep.sort()
+            self.ids = self.ids[ranges(self.first[keep], self.size[keep])]
+            self.hash, self.check, self.used, self.size = self.hash[keep], self.check[keep], self.used[keep], self.size[keep]
+            self.first = np.cumsum(self.size) - self.size
+        at = np.searchsorted(self.hash, h)
+        first += len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        self.hash, self.check, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.hash, h), (self.check, check), (self.first, first), (self.size, size)))
+        self.used = np.insert(self.used, at, self.turn)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the n+1 offsets of the texts; ``end_id`` follows each text. Null texts are empty."""
+        raw, offsets = text_buffer(texts)
+        n = len(texts)
+        self.turn += 1
+        if len(raw):
+            start, end = spans(_IS_WHITE[raw], offsets)
+        else:
+            start = end = np.zeros(0, np.int64)
+        h, size, first, stop = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(start):
+            final = raw[end - 1]
+            before, lead = raw[np.maximum(end - 2, start)], raw[np.maximum(end - 3, start)]
+            letter = _IS_ALNUM[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (end - start > 2))
+            stop = np.where(letter & (end - start > 1), (final == 0x2E) + 2 * (final == 0x2C), 0)
+            body = end - (stop > 0)
+            h = span_hashes(raw, start, body)
+            total = np.concatenate(([0], np.cumsum(raw, dtype=np.int64)))
+            check = (total[body] - total[start]) * 4096 + np.minimum(body - start, 4095)
+            distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+            if (check[where][inverse] != check).any():
+                raise ArithmeticError("two words have one hash")  # never seen; a wrong id would go unnoticed
+            for _ in range(2):
+                k = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
+                known = self.hash[k] == distinct if len(self.hash) else np.zeros(len(distinct), bool)
+                self.used[k[known]] = self.turn
+                new = np.flatnonzero(~known)
+                if not len(new):
+                    break
+                self._learn(raw, start[where[new]], body[where[new]], distinct[new], check[where[new]])
+            if (self.check[k] != check[where]).any():
+                raise ArithmeticError("two words have one hash")
+            size, first = self.size[k][inverse], self.first[k][inverse]
+        # a part's ids, then its full stop's or comma's; a text's end id after its last part
+        tail = np.array([0, len(self.stops[0]), len(self.stops[1])])[stop]
+        table = np.concatenate([self.ids, *self.stops, np.array([] if end_id is None else [end_id], np.int32)])
+        at = np.searchsorted(start, offsets)
+        ends = np.zeros((n,), np.int64) + (end_id is not None)
+        piece_first = np.empty(2 * len(start), np.int64)
+        piece_size = np.empty(2 * len(start), np.int64)
+        piece_first[0::2], piece_size[0::2] = first, size
+        piece_first[1::2] = np.array([0, len(self.ids), len(self.ids) + len(self.stops[0])])[stop]
+        piece_size[1::2] = tail
+        slot = 2 * at[1:]
+        piece_first = np.insert(piece_first, slot, len(table) - 1)
+        piece_size = np.insert(piece_size, slot, ends)
+        out = table[ranges(piece_first, piece_size)]
+        count = np.concatenate(([0], np.cumsum(piece_size)))
+        return out, np.concatenate(([0], count[slot + np.arange(1, n + 1)])).astype(np.int64)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for size[0] places, then those of first[1], and so on."""
+    done = np.cumsum(size)
+    return np.arange(int(done[-1]) if len(done) else 0) + np.repeat(first - (done - size), size)
 
 
 def token_rows(docs: DataFrame, order: list, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -106,17 +193,13 @@ def token_rows(docs: DataFrame, order: list, tokenizer_path: str, end_id: int =
     ranged = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = WordEncoder(tokenizer_path), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
+        own, at = encoder(tokenizer_path), 0
         for batch in batches:
-            for x in slices(batch, "text"):
-                ids = [encoder.encode(t) + end for t in x.column("text").to_pylist()]
-                n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-                offsets = np.concatenate(([0], np.cumsum(n)))
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+            for x in slices(batch, "text", ENCODED_AT_ONCE):
+                ids, offsets = own.encode(x.column("text"), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [x.column("part"), x.column("doc_id"), pa.array(at + offsets[:-1]), pa.array(n.astype(np.int32)), lists],
+                    [x.column("part"), x.column("doc_id"), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), lists],
                     names=["part", "doc_id", "at", "n_tokens", "ids"],
                 )
                 at += int(offsets[-1])

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at once; a text may be longer, its blocks are cut at word ends.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _SEPARATORS = bytes(range(0x21)) + bytes(i for i in range(0x21, 0x80) if not chr(i).isalnum())
 
 
@@ -91,16 +91,26 @@ def words(column: pa.Array, white_space_only: bool = False) -> tuple[np.ndarray,
     low = _LOWER[raw] if white_space_only else normal_bytes(raw) if len(raw) else raw
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sep = (_IS_WHITE if white_space_only else _IS_SEPARATOR)[low]
-    edge = np.empty(len(raw), bool)  # a word may begin here
+    start, end = spans((_IS_WHITE if white_space_only else _IS_SEPARATOR)[low], offsets)
+    return span_hashes(low, start, end), np.searchsorted(start, offsets), start, end
+
+
+def spans(sep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each run of bytes that are no separators; no run crosses the texts' offsets."""
+    n = len(sep)
+    edge = np.empty(n, bool)  # a word may begin here
     edge[0] = True
     edge[1:] = sep[:-1]
-    edge[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    edge[offsets[:-1][offsets[:-1] < n]] = True
     start = np.flatnonzero(edge & ~sep)
     edge[:-1] = sep[1:]  # a word may end here
     edge[-1] = True
     edge[offsets[1:][offsets[1:] > 0] - 1] = True
-    end = np.flatnonzero(edge & ~sep) + 1
+    return start, np.flatnonzero(edge & ~sep) + 1
+
+
+def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each of the rising spans."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):  # blocks that end between words
@@ -112,7 +122,7 @@ def words(column: pa.Array, white_space_only: bool = False) -> tuple[np.ndarray,
         s, e = start[i:j] - lo, end[i:j] - lo
         out[i:j] = (total[e] - total[s]) * powers(_P_INV, hi - lo + 1)[s]
         i = j
-    return mix(out), np.searchsorted(start, offsets), start, end
+    return mix(out)
 
 
 def word_strings(column: pa.Array, row: int) -> list[bytes]:
@@ -176,7 +186,7 @@ def distinct_counts(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return out[first], np.diff(np.append(first, len(out))), np.searchsorted(first, offsets)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes, at least a row each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from helpers import edge_rows, frame
 from pyspark.sql import functions as F
@@ -14,9 +16,34 @@ ODD = ["Don't I'M it's, x.", "İstanbul ŁÓDŹ Straße.", "<|endoftext|> a<|sta
 def test_encoder_equals_the_library():
     tok = Tokenizer.from_file(T.tokenizer_path())
     enc = T.WordEncoder(T.tokenizer_path())
-    for t in [*ODD, "", "plain words and more words."]:
-        assert np.frombuffer(enc.encode(t), "<i4").tolist() == tok.encode(t, add_special_tokens=False).ids
-    assert enc.encode(None) == b""
+    texts = [*ODD, "", "plain words and more words.", None]
+    ids, off = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_equals_the_library_on_random_texts(monkeypatch):
+    monkeypatch.setattr(T, "CACHED_WORDS", 500)  # so that words are forgotten and learned again
+    rng, tok, enc = random.Random(1), Tokenizer.from_file(T.tokenizer_path()), T.WordEncoder(T.tokenizer_path())
+    bits = ["a", "B", "é", "É", "ß", "×", "÷", "İ", "Ł", "1", ".", ",", "'", "'s", "'T", " ", "\n", "\x1c", "\x85", "\u00a0", "<|endoftext|>", "<|", "e\u0301", "\u0301", "日", "ΣΑΣ", "ﬁ", "½", "-", "ŉ", "ſ", "’", "\u212a"]
+    for _ in range(30):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 12))) for _ in range(100)] + [None]
+        ids, off = enc.encode(pa.array(texts), 7)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [[*tok.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_a_filter_on_doc_id_skips_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "ROW_GROUP", 1 << 16)
+    path = str(tmp_path / "t")
+    rng = random.Random(2)
+    docs = frame(spark, [(i, " ".join(str(rng.random()) for _ in range(60))) for i in range(4000)])
+    T.write_tokens(T.token_rows(docs, [F.col("doc_id")], T.tokenizer_path()).coalesce(1), path)
+    (file,) = spark.read.parquet(path).inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    column = [i for i in range(meta.num_columns) if meta.schema.column(i).name == "doc_id"][0]
+    holds = [g for g in range(meta.num_row_groups) for s in [meta.row_group(g).column(column).statistics] if s.min <= 1234 <= s.max]
+    assert meta.num_row_groups > 4 and len(holds) == 1
+    one = T.read_tokens(spark, path).where("doc_id = 1234")
+    assert "EqualTo(doc_id,1234)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
 
 
 def test_round_trip(spark, tmp_path):
