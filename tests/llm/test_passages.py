@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from helpers import edge_rows, frame, prose, vocabulary
 from pyspark.sql import functions as F
 
@@ -55,3 +56,30 @@ def test_repeated_rows_and_empty(spark):
     assert P.repeated_passages(frame(spark, [])).count() == 0
     got = P.repeated_passages(frame(spark, [(1, t), (1, u), (2, u)])).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == {(1, 0, 120), (2, 0, 120)}
+
+
+@pytest.mark.parametrize("size", [5, 40, 10**6])
+def test_neighbours_across_ranges(spark, monkeypatch, size):
+    """Against a sorted list: the nearest suffix of another text before, for the first text of a beginning the one behind."""
+    monkeypatch.setattr(P, "SORTED_AT_ONCE", size)
+    rng = random.Random(size)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, rng.randrange(40)]), rng.randrange(3), rng.randrange(5 if rng.random() < 0.5 else 40), rng.randrange(60)) for _ in range(300)})
+    got = {(r.prefix, r.doc_id, r.place): (r.other, r.there, r.first) for r in P.neighbours(spark.createDataFrame(rows, "prefix bigint, tail bigint, doc_id bigint, place int")).collect()}
+    want = {}
+    for i, (prefix, _, doc, place) in enumerate(rows):
+        before = [(d, p) for q, _, d, p in rows[:i] if q == prefix and d != doc]
+        first_run = not before
+        after = [(d, p) for q, _, d, p in rows[i:] if q == prefix and d != doc]
+        if before or after:
+            want[prefix, doc, place] = (*(before[-1] if before else after[0]), first_run)
+    keys = [(q, d, p) for q, _, d, p in rows]
+    once = {k for k in keys if keys.count(k) == 1}  # a place has one suffix
+    assert set(got) == set(want) and {k: got[k] for k in once & set(got)} == {k: want[k] for k in once & set(want)}
+
+
+def test_a_line_that_a_third_of_all_texts_repeat(spark):
+    rng, words = random.Random(3), vocabulary(900)
+    line = prose(rng, 60, words)
+    rows = [(i, " ".join([prose(rng, rng.randrange(0, 50), words)] + [line] * rng.randrange(1, 6) if i % 3 == 0 else [prose(rng, 90, words)]), "en", "s", 1) for i in range(120)]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in P.repeated_passages(frame(spark, rows)).collect()}
+    assert got == brute(rows) and len(got) >= 40
