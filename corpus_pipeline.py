@@ -37,8 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs.select(*COLUMNS))
-    return mixed.orderBy("slot", "source", "offset", "doc_id").select(*COLUMNS)
+    return mixing.mix_sources(docs.select(*COLUMNS), ordered=True).select(*COLUMNS)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
