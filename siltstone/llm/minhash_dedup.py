@@ -25,8 +25,9 @@ MIN_JACCARD = 0.8
 BANDS, ROWS = 16, 5
 SAMPLES = BANDS * ROWS
 RARE_SHARE = 0.002
-#: Shingles that are counted together; half of RARE_SHARE of their texts is the least count that leaves the task.
+#: Shingles that are counted together, and the texts and bytes at least that a counting task reads if there are so many.
 COUNTED_AT_ONCE = 4_000_000
+COUNTED_TEXTS, COUNTED_BYTES = 5_000, 64 << 20
 #: Members of a leader that are compared in one task.
 MEMBERS = 2_000
 #: Texts of a bucket, beyond its leader's, that are compared with each other in one task.
@@ -79,11 +80,12 @@ class Weights:
         return w
 
 
-def frequent_shingles(docs: DataFrame) -> Weights:
-    """Document frequencies of the frequent shingles over all texts, by lossy counting.
+def candidate_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Shingles of which some may be frequent, all frequent ones among them, and the number of texts with a shingle.
 
-    Each task sends the shingles that at least half of RARE_SHARE of its texts hold (two texts at least). A sum is short of
-    the true frequency by less than half of RARE_SHARE of all texts. What reaches the driver is bounded as said above.
+    Texts are counted in batches; a batch hands on the shingles that at least half of RARE_SHARE of its texts hold. A shingle
+    that RARE_SHARE of all texts hold loses less than half of that in the batches that keep silent, so its sum is at least
+    the other half. Small parts of the input are read together, since a batch of few texts has little to leave out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
             g = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(g)))
-            keep = n >= max(2, int(np.ceil(RARE_SHARE / 2 * texts)))
+            keep = n >= RARE_SHARE / 2 * texts
             return pa.RecordBatch.from_arrays([pa.array(np.append(g[first][keep].astype(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), texts))], names=["g", "n", "texts"])
 
         for batch in batches:
@@ -108,11 +110,40 @@ def frequent_shingles(docs: DataFrame) -> Weights:
                     held, size, texts = [], 0, 0
         yield count()
 
-    sums = save(docs.select("text").mapInArrow(run, "g long, n long, texts long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "shingle-df")
+    all_ = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    parts = max(1, all_.n // COUNTED_TEXTS, all_.b // COUNTED_BYTES)
+    sums = save(docs.select("text").coalesce(parts).mapInArrow(run, "g long, n long, texts long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "shingle-df")
     texts = sums.agg(F.sum("texts").alias("t")).first().t or 0
-    rows = [(r.g, r.n) for r in sums.where(F.col("n") >= max(2, RARE_SHARE * texts)).select("g", "n").collect()]
+    found = sums.where(F.col("n") >= max(1, RARE_SHARE / 2 * texts)).select("g").toArrow().column("g").to_numpy()
     drop_saved(sums)
-    return Weights(rows, texts)
+    return np.sort(found.astype(np.int64).view(np.uint64)), texts
+
+
+def frequent_shingles(docs: DataFrame) -> Weights:
+    """Document frequencies of the frequent shingles over all texts: candidates first, then their exact counts.
+
+    Neither the layout of the files nor the order of rows changes them. What reaches the driver is bounded as said above.
+    """
+    found, texts = candidate_shingles(docs)
+    if not len(found):
+        return Weights([], texts)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        filter_, total = bits(table), np.zeros(len(table), np.int64)
+        for batch in batches:
+            for x in slices(batch, "text"):
+                h, at, _, _ = words(x.column("text"))
+                g, off = shingles(h, at, SHINGLE_WORDS)
+                at, k = find(g, np.ones(len(g), bool), table, filter_)
+                doc = np.searchsorted(off, at, side="right") - 1
+                total += np.bincount(np.unique(doc * np.int64(len(table)) + k) % len(table), minlength=len(table))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, RARE_SHARE * texts)).collect()
+    return Weights([(int(found[r.k]), r.n) for r in rows], texts)
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:

@@ -106,3 +106,31 @@ def test_empty_and_wordless(spark):
     assert M.near_duplicates(frame(spark, [])).count() == 0
     got = M.near_duplicates(frame(spark, [(1, ""), (2, None), (3, " "), (4, "")])).collect()
     assert all(r.kept and r.class_id == r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+def test_weights_are_exact_in_every_layout(spark, monkeypatch, parts):
+    monkeypatch.setattr(M, "COUNTED_TEXTS", 30)  # 400 texts in 13 tasks at most, in batches of a few texts
+    monkeypatch.setattr(M, "COUNTED_AT_ONCE", 200)
+    rng, words = random.Random(21), vocabulary(4000)
+    lines = [prose(rng, 6, words) for _ in range(3)]
+    rows = [(i, " ".join([prose(rng, 20, words)] + [line for line, share in zip(lines, (2, 10, 200)) if i % share == 0])) for i in range(400)]
+    docs = frame(spark, rows).repartition(parts)
+    counts = {}
+    for _, text in rows:
+        w = text.split()
+        for g in {tuple(w[i : i + 5]) for i in range(len(w) - 4)}:
+            counts[g] = counts.get(g, 0) + 1
+    got = M.frequent_shingles(docs)
+    want = {}
+    for g, n in counts.items():
+        if n >= 2:
+            h, at, *_ = T.words(pa.array([" ".join(g)]))
+            want[int(T.shingles(h, at, 5)[0][0])] = 1 + np.log(1 / max(n / 400, M.RARE_SHARE)) / np.log(1 / M.RARE_SHARE)
+    assert len(want) >= 4 and dict(zip(got.table.tolist(), got.idf.tolist())) == pytest.approx(want)
+
+
+def test_classes_do_not_depend_on_the_layout(spark):
+    docs = frame(spark, corpus(seed=31))
+    got = [sorted(map(tuple, M.near_duplicates(docs.repartition(n)).collect())) for n in (1, 64)]
+    assert got[0] == got[1]
