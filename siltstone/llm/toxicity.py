@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to symbols by lexicons; insults and their weights are learned from labelled rows, the other classes are
-fixed lists. Four small transducers read the symbols of a text in turn: reported speech, negation, target and clause. Each
-is a table of (state, symbol) -> (state, symbol); their composition is one table that turns a text into matched clauses
-(how an insult or a threat stands: plain, negated, reported). Clause weights are summed by kind, and a logistic function
-of these sums, fit on labelled rows, is the score. Single words without a clause that holds them count for nothing.
+Five lexical transducers of one state each (insult, threat, target, negation, report) write a word as a weighted symbol;
+insults and their weights are learned from labelled rows, the other classes are fixed lists. Three more read the symbols in
+turn: reported speech, negation, and the clause with its target. Each is a table of (state, symbol) -> (state, symbol);
+their composition is one table that turns a text into matched clauses: an insult or a threat that stands plain, negated or
+reported, in a clause with a target or without. Weights are summed by kind of match, and a logistic function of these sums,
+fit on labelled rows, is the score. An insult that stands by itself is a clause of the plain kind without a target: what
+such clauses weigh is learned as for the others, since in the labelled rows most insults stand so.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ THREATS = "kill hurt destroy murder töten umbringen vernichten tuer détruire m
 #: Symbols: other, insult, threat, target, negation, report, end of a clause; then how a match stands.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 NEGATED, REPORTED, BOTH = 7, 8, 9  # an insult or threat under negation, in reported speech, under both
+TARGETED_END = 10  # the end of a clause that names a target
 Table = dict[tuple[object, int], tuple[object, int]]
 NEGATION_REACH = 3
 
@@ -70,11 +73,11 @@ def negation_transducer() -> tuple[object, Table]:
 
 
 def clause_transducer() -> tuple[object, Table]:
-    """Remembers whether the clause names a target; the state at the clause's end says so."""
+    """Remembers whether the clause names a target, before or after its matches, and writes so at its end."""
     t: Table = {}
     for s in (0, 1):
         for x in range(10):
-            t[s, x] = (0 if x == END else 1 if x == TARGET else s, x)
+            t[s, x] = (0 if x == END else 1 if x == TARGET else s, TARGETED_END if x == END and s else x)
     return 0, t
 
 
@@ -140,7 +143,6 @@ class Grammar:
         self.move = [[(0, OTHER)] * 7 for _ in states]
         for (s, x), (s2, y) in table.items():
             self.move[states[s]][x] = (states[s2], y)
-        self.targeted = [s[1] == 1 for s in states]
 
     def may_hit(self, low: str) -> bool:
         """False only if no word of a lower-cased text is an insult or a threat."""
@@ -170,15 +172,14 @@ class Grammar:
                     if len(known) > 100_000:
                         known.clear()
                     x = known[piece] = self.symbol_of(piece)
-            before = state
             state, y = self.move[state][x]
             if y in (INSULT, THREAT, NEGATED, REPORTED, BOTH):
                 clause.append((y, x, self.weight[piece]))
                 seen.add(piece)
             elif x == END and clause:
-                for y, x, w in clause:
-                    out[1 if y == NEGATED else 2 if y in (REPORTED, BOTH) else 3 if x == THREAT else 0] += w
-                    out[4] += w * self.targeted[before]
+                for how, what, w in clause:
+                    out[1 if how == NEGATED else 2 if how in (REPORTED, BOTH) else 3 if what == THREAT else 0] += w
+                    out[4] += w * (y == TARGETED_END)
                 out[5] += 1
                 clause = []
         out[6] = float(len(seen))
@@ -338,4 +339,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 3) != 1)
     model = learn(docs, labels)
-    return score_toxicity(docs.withColumn("held_out", crc_mod("doc_id", 3) == 1), model)
+    return score_toxicity(docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))), model)

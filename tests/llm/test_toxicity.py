@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from helpers import edge_rows, frame, prose, vocabulary
@@ -122,3 +123,52 @@ def test_quick_look_misses_no_match():
             g.may_hit, keep = (lambda low: True), g.may_hit
             assert g.features(text) == before
             g.may_hit = keep
+
+
+def plain_features(text, insults):
+    """The grammar in plain code: clause by clause, word by word."""
+    out, seen = dict.fromkeys(T.FEATURES, 0.0), set()
+    for clause in re.split(r"[.!?;|\n]", text.lower()):
+        reported, reach, found = False, 0, False
+        words = re.findall(r"[^\W_]+(?:'[^\W_]+)*", clause)
+        targeted = any(w in T.TARGETS for w in words)
+        for w in words:
+            negated = reach > 0
+            if w in T.REPORTS:
+                reported = True
+            kind = "threat" if w in T.THREATS else "plain" if w in insults else None
+            if kind:
+                weight = insults.get(w, 4.0)
+                out["reported" if reported else "negated" if negated else kind] += weight
+                out["targeted"] += weight * targeted
+                seen.add(w)
+                found = True
+            reach = T.NEGATION_REACH if w in T.NEGATIONS else max(0, reach - 1)
+        out["clauses"] += found
+    return out | {"distinct": float(len(seen))}
+
+
+def test_grammar_equals_plain_code():
+    rng = random.Random(17)
+    insults = {"fool": 2.0, "vile1": 1.5}
+    g = T.Grammar({w.encode(): x for w, x in insults.items()})
+    pieces = ["you", "not", "never", "said", "kill", "fool", "vile1", "word", "so", "isn't", ".", "!", ";", "\n", "|", "Fool", "them"]
+    for _ in range(500):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        assert dict(zip(T.FEATURES, g.features(text))) == plain_features(text, insults), text
+
+
+def test_score_equals_plain_code(spark):
+    rows, marks = corpus(300)
+    insults, weights = T.learn(frame(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    own = {w.decode(): x for w, x in insults.items() if not w.endswith(T.STEM)}
+    stems_ = {w[:-1].decode(): x for w, x in insults.items() if w.endswith(T.STEM)}
+    for r in T.score_toxicity(frame(spark, rows), (insults, weights)).join(frame(spark, rows).select("doc_id", "text"), "doc_id").collect():
+        listed = dict(own)
+        for w in re.findall(r"[^\W_]+", r.text.lower()):
+            for n in T.STEM_BYTES:
+                if w not in listed and len(w) > n and w[:n] in stems_:
+                    listed[w] = stems_[w[:n]]
+        f = plain_features(r.text, listed)
+        z = weights[-1] + sum(w * np.log1p(f[n]) for w, n in zip(weights, T.FEATURES))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= T.THRESHOLD)
