@@ -17,8 +17,6 @@ SAMPLED_TEXTS = 200
 #: Bytes of a dictionary and the most that one text gives to it.
 DICTIONARY_BYTES = 96 << 10
 SLICE_BYTES = 1 << 10
-#: At most so many languages are learned, the most frequent ones; this bounds the dictionaries that each worker holds.
-MOST_LANGUAGES = 256
 LEVEL = 6
 #: What stands between letters; it is one space in texts and dictionaries, so that tables and noise weigh little.
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -37,18 +35,16 @@ def letters(text: str) -> bytes:
 def learn_dictionaries(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, bytes]:
     """Per-language raw-content dictionaries from a bounded sample of labelled rows.
 
-    Rows with a null language or an empty text are not learned from. The sample is chosen from key and language alone, so
+    Rows with a null language or an empty text are not learned from. Every language is learned, however rare; what a worker
+    holds is DICTIONARY_BYTES for each. The sample is chosen from key and language alone, so
     texts are read for its rows only; a language with a third of all rows is cut down before the shuffle.
     """
     from pyspark.sql import Window
 
     spark = rows.sparkSession
     labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    known = [r[0] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()]
-    if not known:
-        return {}
     order = Window.partitionBy("_lang").orderBy("_h", "_key")
-    keys = labelled.where(F.col(lang).isin(known)).select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.xxhash64(key).alias("_h"))
+    keys = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.xxhash64(key).alias("_h"))
     chosen = keys.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLED_TEXTS).select("_key").distinct()
     picked = labelled.join(F.broadcast(chosen), labelled[key].eqNullSafe(chosen["_key"]))
     n = F.length(text)
@@ -128,5 +124,5 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     learned = learn_dictionaries(docs.where(crc_mod("doc_id", 3) != 1))
-    out = identify_language(docs.select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out")), learned)
+    out = identify_language(docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")), learned)
     return out.select("doc_id", "held_out", "lang_pred", "score", "margin", "accepted")

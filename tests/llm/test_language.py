@@ -1,4 +1,5 @@
 import random
+import re
 
 from helpers import edge_rows, frame, prose, vocabulary
 from pyspark.sql import functions as F
@@ -29,3 +30,32 @@ def test_narrow_margins_are_rejected():
 def test_nothing_to_learn(spark):
     assert L.learn_dictionaries(frame(spark, []).where("false")) == {}
     assert L.identify_language(frame(spark, [(1, "text")]), {}).first().lang_pred == "und"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 300} only here", f"l{i % 300:03}", "s", 1) for i in range(600)] + [(999, "once seen", "rare", "s", 1)]
+    assert len(L.learn_dictionaries(frame(spark, rows))) == 301
+
+
+def test_predictions_equal_plain_compression(spark):
+    """Dictionaries and sizes made anew, without the operator's classes."""
+    import zstandard
+
+    rng = random.Random(5)
+    vocab = {lang: [c + w for w in vocabulary(60, 2)] for lang, c in (("aa", ""), ("bb", "x"), ("cc", "é"))}
+    rows = [(i, prose(rng, rng.randrange(0, 25), vocab[lang]), lang, "s", 1) for i in range(90) for lang in [rng.choice(list(vocab))]]
+    learned = L.learn_dictionaries(frame(spark, rows))
+    for lang, raw in learned.items():  # texts under SLICE_BYTES give all they have
+        lines = sorted(" ".join(re.findall(r"[^\W\d_]+", t.lower())) for _, t, tag, *_ in rows if tag == lang and t)
+        assert sorted(x.strip() for x in raw.decode().splitlines()) == lines
+    texts = {i: t for i, t, *_ in rows}
+    for r in L.identify_language(frame(spark, rows), learned).collect():
+        text = re.sub(r"[\W\d_]+", " ", texts[r.doc_id].lower()).encode()
+        sizes = {}
+        for lang, raw in learned.items():
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(L.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(text))
+        first, second = sorted(sizes.values())[:2]
+        assert r.lang_pred == (min(sizes, key=lambda k: (sizes[k], k)) if text else "und")
+        assert not text or r.accepted == ((second - first) / second >= L.MIN_MARGIN)
