@@ -25,13 +25,13 @@ from .tokens import slices, text_buffer, words
 HELD_WORDS = 262_144
 #: Words that the recurrent model tells apart, and its tail classes.
 MODEL_WORDS, TAILS = 4_096, 32
-#: One training text in so many is read by the trainers: all of them.
-TRAINED_SHARE = 1
-#: Bytes of training text for each trainer, the most trainers, and rounds.
-TRAINER_BYTES, MOST_TRAINERS, ROUNDS = 10 << 20, 1024, 2
+#: Bytes of training text for each trainer, and rounds.
+TRAINER_BYTES, ROUNDS = 10 << 20, 2
 COUNTED_AT_ONCE = 3_000_000
-#: Weights averaged in one task.
-CHUNK = 1 << 16
+#: Bytes of text whose texts share a trainer's lanes.
+TRAINED_AT_ONCE = 4 << 20
+#: Weights of a chunk, and trainers whose chunks are averaged in one task; averages of more are averaged again.
+CHUNK, AVERAGED = 1 << 16, 64
 END = np.uint64(0x9E3779B97F4A7C15)
 LN10 = float(np.log(10.0))
 
@@ -53,7 +53,8 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def training(df: DataFrame) -> DataFrame:
-    return df.where(F.coalesce(crc_mod("doc_id", 7) != 2, F.lit(True)) & F.col("text").isNotNull())
+    """The rows to learn from; a null text is an empty one."""
+    return df.where(F.coalesce(crc_mod("doc_id", 7) != 2, F.lit(True)))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -127,14 +128,16 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    # the held words are those above a count, so that no task sends more of them than there are
-    band = F.floor(F.log2("c") * 64)
-    room, lowest = HELD_WORDS, None
+    # the held words are those above a count, so that no task sends more of them than there are; of the last count's words,
+    # about as many as there is room for, by their hashes
+    band, share = F.floor(F.log2("c") * 64), F.shiftrightunsigned("h", 11).cast("double") / 2.0**53
+    room, held = HELD_WORDS, F.lit(False)
     for r in sorted(counts.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.b):  # at most 64 bands for each doubling
+        held = (band > r.b) | ((band == r.b) & (share < min(1.0, room / r.n)))
         if r.n > room:
             break
-        room, lowest = room - r.n, r.b
-    top = counts.where(F.lit(False) if lowest is None else band >= lowest).select("h", "c", "tail").toArrow()  # columns, no row objects on the driver
+        room -= r.n
+    top = counts.where(held).select("h", "c", "tail").toArrow()  # columns, no row objects on the driver
     h, c, tail = (top.column(k).to_numpy().astype(t) for k, t in (("h", np.uint64), ("c", np.int64), ("tail", np.int64)))
     order = np.lexsort((h, -c))
     h, c, tail = h[order], c[order], tail[order]
@@ -163,10 +166,10 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
     """Weights after all rounds. ``docs``: training texts; ``vocab``: a broadcast Vocabulary."""
     spark = docs.sparkSession
     words_, tails = vocab.value.model, TAILS
-    held = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(TRAINED_SHARE)) == 0).select("doc_id", "text")
-    size = held.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    trainers = min(MOST_TRAINERS, max(1, round(size / TRAINER_BYTES)))
-    dealt = held.withColumn("_t", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers)).cast("int")).repartition(trainers, "_t").sortWithinPartitions("_t", F.xxhash64("doc_id"), "doc_id", "text").select("text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    trainers = max(1, round(size / TRAINER_BYTES))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers)).cast("int")
+    dealt = docs.select("doc_id", "text", own.alias("_t")).repartitionById(trainers, F.col("_t")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("_t", "text")
     flat = first
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(flat)
@@ -174,25 +177,42 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = _vocabulary(vocab)
             t = recurrent.Trainer(recurrent.unpack(now.value, words_, tails), words_, tails)
+            me = 0
             for batch in batches:
-                for x in slices(batch, "text"):
+                for x in slices(batch, "text", TRAINED_AT_ONCE):
+                    me = x.column("_t")[0].as_py()
                     h, off, tail = tokens_of(x.column("text"))
                     t.learn(v.model_ids(v.find(h), tail), off)
             if t.tokens:
                 w = recurrent.pack(t.p)
                 parts = [w[i : i + CHUNK].tobytes() for i in range(0, len(w), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([t.tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "tokens", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([me] * len(parts), pa.int32()), pa.array([t.tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "t", "tokens", "w"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}  # at most the chunks of one model
-            for x in batches:
-                for k, n, w in zip(x.column("chunk").to_pylist(), x.column("tokens").to_pylist(), x.column("w").to_pylist()):
-                    s = sums.setdefault(k, [0, 0.0])
-                    s[0] += n
-                    s[1] = s[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["chunk", "w"])
+            now, tokens, total = None, 0, 0.0
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "t", "tokens", "w"])
 
-        rows = dealt.mapInArrow(run, "chunk int, tokens long, w binary").repartition("chunk").mapInArrow(average, "chunk int, w binary").collect()
+            for x in batches:
+                for k, g, n, w in zip(*(x.column(c).to_pylist() for c in ("chunk", "t", "tokens", "w"))):
+                    if now is not None and now != (k, g):
+                        yield done()
+                    if now != (k, g):
+                        now, tokens, total = (k, g), 0, 0.0
+                    tokens, total = tokens + n, total + n * np.frombuffer(w, np.float32).astype(np.float64)
+            if now is not None:
+                yield done()
+
+        rows, groups, kinds = dealt.mapInArrow(run, "chunk int, t int, tokens long, w binary"), trainers, "chunk int, t int, tokens long, w binary"
+        while True:  # a level for each power of AVERAGED; no task averages more than so many at a time
+            groups = -(-groups // AVERAGED)
+            keys = ["chunk", "_g"]
+            rows = rows.withColumn("_g", F.floor(F.col("t") / AVERAGED).cast("int")).repartition(*keys).sortWithinPartitions(*keys, "t")
+            rows = rows.select("chunk", F.col("_g").alias("t"), "tokens", "w").mapInArrow(average, kinds)
+            if groups == 1:
+                break
+        rows = rows.collect()  # one model
         if rows:
             flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.chunk)])
     return flat

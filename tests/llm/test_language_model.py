@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,11 +27,10 @@ def corpus(n=160):
 def test_base_score_counts_and_gain(spark, monkeypatch):
     monkeypatch.setattr(L, "HELD_WORDS", 60)  # so that most words meet their counts in the join
     monkeypatch.setattr(L, "MODEL_WORDS", 40)
-    monkeypatch.setattr(L, "TRAINED_SHARE", 1)
     rows = corpus() + edge_rows("w Zz " * 20_000)
     docs = frame(spark, rows).withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))).withColumn("cold", F.lit("clash"))
-    got = L.score_documents(docs, docs.where("not held_out and text is not null")).collect()
-    train = [r for r in rows if r[1] is not None and not (r[0] is not None and r[0] % 7 == 2)]
+    got = L.score_documents(docs, docs.where("not held_out")).collect()
+    train = [r for r in rows if not (r[0] is not None and r[0] % 7 == 2)]  # a null text is an empty one
     c = Counter(w for r in train for w in tokens(r[1]))
     n, v = sum(c.values()), len(c)
     want = sorted((str(r[0]), len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(r[1])), 4)) for r in rows)
@@ -123,3 +123,78 @@ def test_a_word_has_one_row_whatever_stands_before_it(spark, monkeypatch):
     assert sorted(r.c for r in L.count_tokens(docs).collect()) == sorted(want.values())
     h, _, tail = L.tokens_of(pa.array(texts))
     assert len(set(zip(h.tolist(), tail.tolist()))) == len(want)
+
+
+def test_null_texts_are_learned_as_empty(spark):
+    a, b, c = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    docs = spark.createDataFrame([(a, "a b"), (b, None), (c, "")], "doc_id bigint, text string")
+    assert {r.train_tokens for r in L.score_documents(docs.withColumn("held_out", F.lit(False)), L.training(docs)).collect()} == {3 + 1 + 1}
+
+
+def test_a_flat_distribution_has_model_words(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD_WORDS", 100)
+    v = L.vocabulary(L.count_tokens(frame(spark, [(i, f"once{i}") for i in range(900)])))
+    assert 50 < len(v.h) < 150 and v.tokens == 1800 and v.distinct == 901
+
+
+def test_two_trainers_are_averaged_by_their_tokens(spark, monkeypatch):
+    docs = frame(spark, corpus(90))
+    v = L.vocabulary(L.count_tokens(docs))
+    first = R.pack(R.start(np.concatenate([v.c[: v.model], v.tail_tokens]), L.TAILS))
+    monkeypatch.setattr(L, "ROUNDS", 1)
+    monkeypatch.setattr(L, "AVERAGED", 2)
+    size = sum(len(t.encode()) for _, t, *_ in corpus(90))
+    for trainers in (2, 5):  # 5: three levels of averages
+        monkeypatch.setattr(L, "TRAINER_BYTES", size / trainers)
+        dealt = docs.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers))).withColumn("h", F.xxhash64("doc_id")).orderBy("t", "h", "doc_id", "text").collect()
+        total, tokens_ = 0.0, 0
+        for k in range(trainers):
+            texts = pa.array([r.text for r in dealt if r.t == k])
+            h, off, tail = L.tokens_of(texts)
+            t = R.Trainer(R.unpack(first, v.model, L.TAILS), v.model, L.TAILS)
+            t.learn(v.ready().model_ids(v.find(h), tail), off)
+            total, tokens_ = total + t.tokens * R.pack(t.p).astype(float), tokens_ + t.tokens
+        got = L.train(docs, spark.sparkContext.broadcast(v), first)
+        assert np.allclose(got, total / tokens_, atol=1e-5) and not np.allclose(got, first, atol=1e-4)
+
+
+def plain_score(p, words, tails, ids):
+    """One text, token by token, in double precision."""
+    k, h, total, before = R.HIDDEN, np.zeros(R.HIDDEN), 0.0, words + tails
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p = {n: x.astype(float) for n, x in p.items()}
+    for t in ids:
+        x, g = p["x"][before], h @ p["u"]
+        z, r = sig(x[:k] + g[:k]), sig(x[k : 2 * k] + g[k : 2 * k])
+        n = np.tanh(x[2 * k :] + r * g[2 * k :])
+        h = (1 - z) * n + z * h
+        c = h @ p["wc"] + p["bc"]
+        cls = t // R.CLASS_WORDS if t < words else t - words + -(-words // R.CLASS_WORDS)
+        total += c[cls] - np.log(np.exp(c).sum())
+        if t < words:
+            lo, hi = cls * R.CLASS_WORDS, min(words, (cls + 1) * R.CLASS_WORDS)
+            w = p["ww"][lo:hi] @ h + p["bw"][lo:hi]
+            total += w[t - lo] - np.log(np.exp(w).sum())
+        before = t
+    return total
+
+
+def test_whole_scores_equal_plain_code(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD_WORDS", 200)
+    monkeypatch.setattr(L, "MODEL_WORDS", 150)
+    rows = [*corpus(60), (900, None, None, None, None), (901, "never seen words x9z", "en", "s", 1)]
+    docs = frame(spark, rows).withColumn("held_out", F.col("doc_id") >= 900)
+    learn_from = docs.where("not held_out")
+    v = L.vocabulary(L.count_tokens(learn_from)).ready()
+    p = R.unpack(L.train(learn_from, spark.sparkContext.broadcast(v), R.pack(R.start(np.concatenate([v.c[: v.model], v.tail_tokens]), L.TAILS))), v.model, L.TAILS)
+    c = Counter(w for r in rows if r[0] < 900 for w in tokens(r[1]))
+    assert v.model == 150 and sum(c.values()) == v.tokens
+    for r in L.score_documents(docs, learn_from).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        h, _, tail = L.tokens_of(pa.array([text], pa.string()))
+        ids = v.model_ids(v.find(h), tail)
+        want = plain_score(p, v.model, L.TAILS, ids) / math.log(10)
+        for w, t, i in zip(tokens(text), tail, ids):
+            if i >= v.model:  # the word's add-one share of its tail class
+                want += math.log10((c[w] + 1) / (v.tail_tokens[t] + v.tail_words[t] + 1))
+        assert abs(r.score - want) < 1e-3 * max(1, abs(want)), (r, want)
