@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +19,28 @@ def fixed_segments(rows: DataFrame, order: str, limit: int, size: int) -> DataFr
 def folded_segments(rows: DataFrame, limit: int, shard: str | None = None) -> DataFrame:
     """(seq, k, mem_id) of rows (seq, k, size): a segment ends before the write whose size times the distinct keys with it exceeds the limit.
 
-    The end of a segment depends on all keys since its start, so a shard is folded in order in one task: this is for exact
-    figures. Tables cut by summed bytes, which needs no fold. Without a shard column all rows are one shard.
+    The end of a segment depends on all keys since its start, so the rows of a shard are read in order by one task: this is
+    for exact figures. The task streams over sorted rows and holds the keys of one segment alone. Tables cut by summed
+    bytes, which needs no fold. Without a shard column all rows are one shard.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        seen, segment, out = set(), 0, []
-        for k, size in zip(pdf["k"], pdf["size"]):
-            if (len(seen) + 1) * size > limit:
-                segment, seen = segment + 1, set()
-            seen.add(k)
-            out.append(segment)
-        return pd.DataFrame({"seq": pdf["seq"], "k": pdf["k"], "mem_id": out})
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard_, seen, segment = None, set(), 0
+        for x in batches:
+            out = []
+            for s, k, size in zip(*(x.column(c).to_pylist() for c in ("_shard", "k", "size"))):
+                if s != shard_:
+                    shard_, seen, segment = s, set(), 0
+                if (len(seen) + 1) * size > limit:
+                    segment, seen = segment + 1, set()
+                seen.add(k)
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([x.column("seq"), x.column("k"), pa.array(out, pa.int64())], names=["seq", "k", "mem_id"])
 
     kinds = dict(rows.dtypes)
-    dealt = rows.withColumn("_shard", F.lit(0) if shard is None else F.col(shard))
-    return dealt.groupBy("_shard").applyInPandas(fold, f"seq {kinds['seq']}, k {kinds['k']}, mem_id long")
+    dealt = rows.select(F.lit(0).alias("_shard") if shard is None else F.col(shard).alias("_shard"), "seq", "k", "size")
+    dealt = dealt.repartition(1) if shard is None else dealt.repartition("_shard")
+    return dealt.sortWithinPartitions("_shard", "seq").mapInArrow(fold, f"seq {kinds['seq']}, k {kinds['k']}, mem_id long")
 
 
 def sorted_runs(segments: DataFrame) -> DataFrame:

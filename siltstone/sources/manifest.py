@@ -30,6 +30,14 @@ class Run:
     max_seq: int = -1
 
 
+@dataclass(frozen=True)
+class Retired:
+    """A run or log batch that newer versions no longer read, and when it was left (seconds since the epoch)."""
+
+    path: str
+    at: float
+
+
 @dataclass(frozen=True)
 class Manifest:
     name: str
@@ -40,6 +48,7 @@ class Manifest:
     next_seq: int = 0
     flushed: int = -1  # the last log batch that runs hold
     runs: tuple[Run, ...] = field(default_factory=tuple)
+    retired: tuple[Retired, ...] = field(default_factory=tuple)
 
     def level(self, number: int) -> list[Run]:
         """The runs of a level; levels go from 0 to the deepest one that has been used."""
@@ -63,7 +72,7 @@ class Manifest:
     @staticmethod
     def from_json(text: str) -> Manifest:
         raw = json.loads(text)
-        return Manifest(**raw | {"runs": tuple(Run(**r) for r in raw["runs"])})
+        return Manifest(**raw | {"runs": tuple(Run(**r) for r in raw["runs"]), "retired": tuple(Retired(**r) for r in raw.get("retired", ()))})
 
     def view_json(self) -> str:
         """The plain shape: levels, and in each the runs by id with path and size."""

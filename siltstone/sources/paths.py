@@ -7,16 +7,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+from siltstone.errors import TableError
+
+#: Used only on one machine, where the session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/siltstone-tables"
 
 
 def work_dir(spark: SparkSession) -> str:
-    try:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # a session without the setting
-        named = None
-    return (named or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share: as the session names it, else its checkpoint folder. A cluster without either is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = kept.get() if kept.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise TableError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = FALLBACK_DIR
+    return named.rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:

@@ -11,9 +11,17 @@ from siltstone.sources import paths
 WRITE = "WRITE"
 
 
-def write_run(rows: DataFrame, path: str) -> None:
-    """Write rows (k, v, seq, size) sorted by key over ranges of keys, so that file and row-group bounds prune lookups."""
-    rows.repartitionByRange("k").sortWithinPartitions("k", "seq").write.mode("overwrite").parquet(path)
+#: Bytes of values, with this many more for each row, that a file of a run holds about.
+FILE_BYTES, ROW_BYTES = 64 << 20, 24
+
+
+def write_run(rows: DataFrame, path: str, size: int | None = None, n: int = 0) -> None:
+    """Write rows (k, v, seq, size) sorted by key over ranges of keys, so that file and row-group bounds prune lookups.
+
+    ``size`` and ``n``: bytes of values and rows at most, if known. What fits in one file has one range, for which nothing is sampled.
+    """
+    ranged = rows.repartitionByRange("k") if size is None else rows.repartitionByRange(max(1, -(-(size + ROW_BYTES * n) // FILE_BYTES)), "k")
+    ranged.sortWithinPartitions("k", "seq").write.mode("overwrite").parquet(path)
 
 
 def run_stats(run: DataFrame) -> dict:
@@ -27,14 +35,22 @@ def log_dir(root: str, name: str) -> str:
     return f"{root}/log/{name}"
 
 
+def batch_path(folder: str, batch: int) -> str:
+    return f"{folder}/batch-{batch:012d}"
+
+
 def log_batches(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the log's complete batches, ascending."""
-    return sorted(int(b[6:]) for b in paths.children(spark, folder) if b.startswith("batch-") and paths.exists(spark, f"{folder}/{b}/_SUCCESS"))
+    return sorted(int(b[6:]) for b in paths.children(spark, folder) if b.startswith("batch-") and is_complete(spark, folder, int(b[6:])))
+
+
+def is_complete(spark: SparkSession, folder: str, batch: int) -> bool:
+    return paths.exists(spark, f"{batch_path(folder, batch)}/_SUCCESS")
 
 
 def append_log(rows: DataFrame, folder: str, batch: int) -> None:
     """Write one batch of (seq, k, v, op); it counts once its success marker is there."""
-    rows.write.mode("overwrite").parquet(f"{folder}/batch-{batch:012d}")
+    rows.write.mode("overwrite").parquet(batch_path(folder, batch))
 
 
 def replay_log(spark: SparkSession, folder: str, schema: str, batches: list[int] | None = None) -> DataFrame:
@@ -45,10 +61,10 @@ def replay_log(spark: SparkSession, folder: str, schema: str, batches: list[int]
         batches = log_batches(spark, folder)
     if not batches:
         return spark.createDataFrame([], f"{schema}, batch bigint")
-    rows = spark.read.schema(schema).parquet(*(f"{folder}/batch-{b:012d}" for b in batches))
+    rows = spark.read.schema(schema).parquet(*(batch_path(folder, b) for b in batches))
     return rows.withColumn("batch", F.regexp_extract("_metadata.file_path", r"batch-(\d+)/", 1).cast("bigint"))
 
 
 def delete_log(spark: SparkSession, folder: str, batches: list[int]) -> None:
     for b in batches:
-        paths.delete(spark, f"{folder}/batch-{b:012d}")
+        paths.delete(spark, batch_path(folder, b))

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.errors import LogDisabled
 from siltstone.table import KVTable
 
 
 def stream_into(source: DataFrame, table: KVTable, checkpoint: str, order_by: str | None = None, **trigger) -> StreamingQuery:
     """Each micro-batch is one put; without a trigger all that is there is read and the query ends.
 
-    A batch that a restart repeats holds sequence numbers that the table has: with a column ``seq`` those rows are left
-    out, so a repeated batch adds nothing.
+    A batch that a restart repeats is written once: it is named by the checkpoint and its number, and the table's log knows
+    the names. With a column ``seq`` rows may come late; they win over older versions and lose to newer ones. The table needs
+    its log, since what only a writer's memory holds would be lost with it.
     """
+    if not table.opts.wal:
+        raise LogDisabled
 
-    def put(batch: DataFrame, _: int) -> None:
-        if "seq" in batch.columns:
-            batch = batch.where(batch["seq"] >= table.m.next_seq)
-        table.put(batch, order_by=order_by)
+    def put(batch: DataFrame, number: int) -> None:
+        table.put(batch, order_by=order_by, late=True, token=f"{checkpoint.rstrip('/')}/{number}")
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -210,3 +210,115 @@ def test_bounds_of_other_key_types(spark, tmp_path):
     s.put(spark.createDataFrame([(0, "a", 1), (1, "é", 2), (2, "Z", 3)], "seq bigint, k string, v int"))
     s.flush()
     assert [s.get(k).first().v for k in ("a", "é", "Z", "b")] == [1, 2, 3, None]
+
+
+def test_a_reader_leaves_a_writers_run_alone(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), "a", opts=SMALL)
+    t.put(puts(spark, [(0, 1, 1)]))
+    reader = KVTable.open(spark, str(tmp_path), "a", opts=SMALL, mode="read")
+    run = t._write(t._unflushed(), 0, 4, 1)  # in the middle of a flush
+    other = KVTable.open(spark, str(tmp_path), "a", opts=SMALL, mode="read")
+    assert paths.exists(spark, run.path) and state(reader.snapshot()) == state(other.snapshot()) == {1: 1}
+    t.flush()
+    assert state(reader.refresh().snapshot()) == {1: 1} and reader.m.version == t.m.version
+    for call in (lambda: reader.put(puts(spark, [(9, 1, 1)])), reader.flush, reader.compact, reader.vacuum):
+        with pytest.raises(TableError):
+            call()
+    with pytest.raises(TableError):
+        KVTable.open(spark, str(tmp_path), "none", mode="read")
+
+
+def test_a_second_writer_that_cleans_up_fences_the_first(spark, tmp_path):
+    a = KVTable.open(spark, str(tmp_path), "a", opts=SMALL)
+    a.put(puts(spark, [(0, 1, 1)]))
+    a._write(a._unflushed(), 0, 4, 1)  # in the middle of a flush
+    b = KVTable.open(spark, str(tmp_path), "a", opts=SMALL)
+    with pytest.raises(CommitConflict):
+        a.flush()
+    b.flush()
+    assert state(KVTable.open(spark, str(tmp_path), "a", mode="read").snapshot()) == {1: 1}
+
+
+def test_frames_keep_their_version(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), "a", opts=SMALL)
+    t.put(puts(spark, [(i, i, 0) for i in range(20)]))
+    unflushed, one = t.snapshot(), t.get(3)
+    t.flush()
+    t.put(puts(spark, [(20 + i, i, 1) for i in range(20)]))
+    t.flush()
+    two = t.snapshot()
+    while t.compact():
+        pass
+    assert state(unflushed) == {i: 0 for i in range(20)} and one.first().v == 0 and state(two) == {i: 1 for i in range(20)}
+    assert [r.path for r in t.m.runs] and len(t.m.retired) >= 3
+    assert t.vacuum() == [] and len(t.vacuum(retain=0)) >= 3 and t.m.retired == ()
+    assert state(t.snapshot()) == {i: 1 for i in range(20)}
+    assert state(KVTable.open(spark, str(tmp_path), "a", opts=SMALL).snapshot()) == {i: 1 for i in range(20)}
+
+
+def test_null_keys_miss(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), "a")
+    t.put(puts(spark, [(0, 1, 1)]))
+    assert [tuple(r) for r in t.get(None).collect()] == [(None, None, "io err: Key not found")]
+    t.flush()
+    assert {tuple(r) for r in t.multi_get(spark.createDataFrame([(None,), (1,)], "k bigint")).collect()} == {(None, None, "io err: Key not found"), (1, 1, None)}
+    assert t.multi_get(spark.createDataFrame([], "k bigint")).count() == 0
+
+
+def test_late_and_repeated_batches(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), "a")
+    new, old = puts(spark, [(100 + i, i, 1) for i in range(30)]), puts(spark, [(i, i, 0) for i in range(40)])
+    assert t.put(new, late=True, token="s/0").n_written == 30
+    assert t.put(old, late=True, token="s/1").n_written == 40
+    assert t.put(old, late=True, token="s/1").n_written == 0
+    want = {i: int(i < 30) for i in range(40)}
+    assert state(t.snapshot()) == want
+    again = KVTable.open(spark, str(tmp_path), "a")
+    assert again.put(old, late=True, token="s/1").n_written == 0
+    again.flush()
+    assert again.put(old, late=True, token="s/1").n_written == 0 and state(again.snapshot()) == want
+    top = again._claims()
+    again._claim("s/2", 50)  # claimed, then the writer is lost before the log has it, and others write and flush
+    again.put(puts(spark, [(500, 99, 9)]))
+    again.flush()
+    last = KVTable.open(spark, str(tmp_path), "a")
+    assert last.put(puts(spark, [(600, 98, 8)]), late=True, token="s/2").n_written == 1
+    assert state(last.snapshot()) == want | {99: 9, 98: 8} and len(last._claims()) <= len(top) + 1
+
+
+def test_unflushed_bytes_are_counted_and_found_again(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path), "a", opts=SMALL)
+    for i in range(3):
+        t.put(puts(spark, [(i * 10 + j, j, 1) for j in range(10)]))
+    assert t.unflushed_bytes() == 120 == KVTable.open(spark, str(tmp_path), "a", opts=SMALL).unflushed_bytes()
+    t.flush()
+    assert t.unflushed_bytes() == 0
+
+
+def test_readers_in_threads_beside_a_writer(spark, tmp_path):
+    """Each read sees whole versions: the values of all keys come from one write or a later one, never from an earlier."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = KVTable.open(spark, str(tmp_path), "a", opts=SMALL)
+    t.put(puts(spark, [(i, i, 0) for i in range(50)]))
+    t.compact_every(0.2)
+
+    def read(n: int) -> list[int]:
+        reader = KVTable.open(spark, str(tmp_path), "a", opts=SMALL, mode="read")
+        seen = []
+        for _ in range(4):
+            got = state(reader.refresh().snapshot())
+            assert sorted(got) == list(range(50)) and len(set(got.values())) == 1
+            assert reader.get(n).first().v >= got[n]
+            seen.append(got[n])
+        return seen
+
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(read, n) for n in range(4)]
+        for step in range(1, 6):
+            t.put(puts(spark, [(step * 50 + i, i, step) for i in range(50)]))
+            t.flush()
+        for job in jobs:
+            assert job.result() == sorted(job.result())
+    t.close()
+    assert set(state(t.snapshot()).values()) == {5}
