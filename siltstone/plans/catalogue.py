@@ -89,8 +89,10 @@ def compact_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tier = F.when(F.col("seq") >= 9000, -1).when(F.col("seq") >= 5000, 0).when(F.col("seq") >= 2000, 1).otherwise(2)
-    return _puts(spark, sf_dir).where("k % 7 <> 0 or seq < 5000").withColumn("tier", tier)
+    """Every event has a tier; later ones are higher up, but for every seventh user, whose events stay in the lower two."""
+    high = F.col("k") % 7 != 0
+    tier = F.when(high & (F.col("seq") >= 9000), -1).when(high & (F.col("seq") >= 5000), 0).when(F.col("seq") >= 2000, 1).otherwise(2)
+    return _puts(spark, sf_dir).withColumn("tier", tier)
 
 
 def read_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +181,48 @@ def streaming_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.snapshot()
 
 
+def streaming_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the stream that come last hold the earliest writes."""
+    t = _table(spark, "events", "bigint", "double")
+    folders = []
+    for part in reversed(_parts(_puts(spark, sf_dir), 4)):
+        folders.append(paths.fresh(spark, "late"))
+        part.coalesce(1).write.parquet(folders[-1])
+    offsets = paths.fresh(spark, "offsets")
+    for i, folder in enumerate(folders):
+        source = spark.readStream.schema("seq bigint, k bigint, v double").parquet(folder)
+        stream_into(source, t, f"{offsets}-{i}").awaitTermination()
+    return t.snapshot()
+
+
+def snapshot_across_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot made before the last writes, a flush and a merge is still that of its version."""
+    t = _table(spark, "events", "bigint", "double", strategy=compaction.SizeTiered(16, 2))
+    parts = _parts(_puts(spark, sf_dir), 4)
+    for part in parts[:2]:
+        t.put(part)
+        t.flush()
+    t.put(parts[2])
+    before = t.snapshot()
+    t.flush()
+    t.put(parts[3])
+    t.flush()
+    while t.compact():
+        pass
+    return before
+
+
+def reader_beside_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader opens between two writes of a writer and reads what was there."""
+    t = _table(spark, "events", "bigint", "double")
+    first, second = _parts(_puts(spark, sf_dir), 2)
+    t.put(first)
+    reader = KVTable.open(spark, t.root, "events", "bigint", "double", mode="read")
+    t.put(second)
+    t.flush()
+    return reader.snapshot()
+
+
 def gc_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"view": "WRITE_START", "click": "WRITE_COMPLETE", "signup": "DELETE_START", "error": "DELETE_COMPLETE"}
     op = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("event_type"))
@@ -252,14 +296,14 @@ _STATUS = f"WITH latest AS ({_LATEST}) SELECT c_custkey AS k, l.v, CASE WHEN l.k
 _SEG = f"SELECT o_orderkey AS k, o_custkey AS v, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / {SEGMENT // 4}.0) AS BIGINT) AS mem_id FROM orders"
 _STATS = f"""WITH s AS ({_SEG}), x AS (SELECT max(mem_id) AS last FROM s)
 SELECT mem_id, count(*) AS n, CAST(count(*) * 4 AS BIGINT) AS size_bytes, min(k) AS min_k, max(k) AS max_k, mem_id = (SELECT last FROM x) AS is_active FROM s GROUP BY mem_id"""
-_TIER = """SELECT user_id AS k, value AS v, event_id AS seq, CASE WHEN event_id >= 9000 THEN -1 WHEN event_id >= 5000 THEN 0 WHEN event_id >= 2000 THEN 1 ELSE 2 END AS tier
-FROM events WHERE user_id % 7 <> 0 OR event_id < 5000"""
+_TIER = """SELECT user_id AS k, value AS v, event_id AS seq, CASE WHEN user_id % 7 <> 0 AND event_id >= 9000 THEN -1
+WHEN user_id % 7 <> 0 AND event_id >= 5000 THEN 0 WHEN event_id >= 2000 THEN 1 ELSE 2 END AS tier FROM events"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         put_log, upsert_lww, get_status, sizeof, sizeof_utf8, key_order, memtable_segments, memtable_segments_dup, flush_runs, sst_stats, compaction_plan,
-        compact_bag, compact_lww, read_precedence, read_amp, wal_replay, wal_replay_newest_first, open_put_get, point_get, history, streaming_put, gc_rollback,
+        compact_bag, compact_lww, read_precedence, read_amp, wal_replay, wal_replay_newest_first, open_put_get, point_get, history, streaming_put, streaming_late, snapshot_across_compaction, reader_beside_writer, gc_rollback,
         kv_string_key, kv_struct_value, oversize_rejects, manifest_roundtrip, level_sizes, vacuum_candidates, dir_size,
     )
 }
@@ -270,6 +314,9 @@ ORACLE_SQL = {
     "wal_replay": _LATEST,
     "compact_lww": _LATEST,
     "streaming_put": _LATEST,
+    "streaming_late": _LATEST,
+    "snapshot_across_compaction": _LATEST.replace("FROM events", "FROM events WHERE event_id < 3 * (SELECT max(event_id) // 4 + 1 FROM events)"),
+    "reader_beside_writer": _LATEST.replace("FROM events", "FROM events WHERE event_id < (SELECT max(event_id) // 2 + 1 FROM events)"),
     "get_status": _STATUS,
     "open_put_get": _STATUS,
     "point_get": f"WITH latest AS ({_LATEST}) SELECT p.k, l.v, CASE WHEN l.k IS NULL THEN 'io err: Key not found' END AS err FROM (VALUES (CAST(7 AS BIGINT)), (CAST(-1 AS BIGINT))) p(k) LEFT JOIN latest l ON p.k = l.k",
