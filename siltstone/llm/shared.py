@@ -7,17 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/siltstone-shared"
+from siltstone.sources.paths import work_dir
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    try:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # a session without the setting
-        named = None
-    return (named or FALLBACK_DIR).rstrip("/")
+    return work_dir(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
