@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +30,21 @@ BLOCK = 4_096
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as unit vectors in double precision, and which rows are valid; widths may differ by row only if invalid."""
-    out, ok, width = [], np.zeros(len(column), bool), 0
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            a = np.array(v, float)
-            if np.isfinite(a).all() and (n := np.sqrt(a @ a)) > 0 and np.isfinite(n):
-                out.append(a / n)
-                ok[i] = True
-                width = max(width, len(a))
-                continue
-        out.append(None)
-    x = np.zeros((len(out), width))
-    for i in np.flatnonzero(ok):
-        x[i, : len(out[i])] = out[i]
+    """Rows of a list column as unit vectors in double precision, and which rows are valid. Shorter vectors go on with zeros.
+
+    Straight from the Arrow buffers; a null list has no components.
+    """
+    n = len(column)
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.float64())
+    flat = flat.fill_null(float("nan")) if flat.null_count else flat
+    flat = flat.to_numpy(zero_copy_only=False)
+    x = np.zeros((n, int(size.max(initial=0))))
+    x[np.arange(x.shape[1])[None, :] < size[:, None]] = flat
+    with np.errstate(all="ignore"):
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        ok = np.isfinite(norm) & (norm > 0)
+        x = np.where(ok[:, None], x / norm[:, None], 0.0)
     return x, ok
 
 
@@ -120,7 +122,7 @@ def place(vectors: DataFrame, centroids: dict[int, np.ndarray], min_cosine: floa
             got = x.take(pa.array(np.concatenate(take)))
             yield pa.RecordBatch.from_arrays([got.column("label"), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(queries)), got.column("id"), got.column("mult"), got.column("v")], names=["label", "cell", "query", "id", "mult", "v"])
 
-    return vectors.mapInArrow(run, "label int, cell int, query boolean, id long, mult long, v array<float>")
+    return vectors.mapInArrow(run, "label int, cell int, query boolean, id long, mult long, v array<double>")
 
 
 def compare(placed: DataFrame, min_cosine: float) -> DataFrame:
@@ -206,7 +208,7 @@ def embedding_groups(embeddings: DataFrame, min_cosine: float = MIN_COSINE, key:
     compared as if the shorter one went on with zeros. kept: the one vector of a group with the smallest id. Other columns
     are not read.
     """
-    rows = embeddings.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), F.col(label).cast("int").alias("label"))
+    rows = embeddings.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("label"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) | ~F.exists("v", lambda e: e != 0)
     rows = rows.withColumn("_ok", F.coalesce(~bad & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     rows = rows.withColumns({"_k1": F.xxhash64("label", "v"), "_k2": F.xxhash64(F.lit(1), "v", "label")})

@@ -66,3 +66,21 @@ def test_repeated_ids_and_empty(spark):
     got = E.embedding_groups(spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)], KIND)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
     assert E.embedding_groups(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_components_in_double_precision(spark):
+    """Two vectors that single precision would make equal to a third are apart at a threshold that only doubles can tell."""
+    a, b = [1.0, 0.0], [1.0, 2e-5]
+    df = spark.createDataFrame([(1, a, 0), (2, b, 0), (3, [1.0, 1e-12], 0)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in E.embedding_groups(df, min_cosine=1 - 1e-10).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_unit_rows_equal_plain_code():
+    import pyarrow as pa
+
+    rows = [[3.0, 4.0], None, [], [0.0, 0.0], [1.0, None], [float("inf"), 1.0], [float("nan")], [2.0], [1.0, 2.0, 2.0]]
+    for column in (pa.array(rows, pa.list_(pa.float32())), pa.array([[9.0], *rows], pa.list_(pa.float64())).slice(1)):
+        x, ok = E.unit_rows(column)
+        assert ok.tolist() == [True, False, False, False, False, False, False, True, True]
+        assert np.allclose(x[ok], [[0.6, 0.8, 0], [1, 0, 0], [1 / 3, 2 / 3, 2 / 3]])
