@@ -25,9 +25,9 @@ MIN_JACCARD = 0.8
 BANDS, ROWS = 16, 5
 SAMPLES = BANDS * ROWS
 RARE_SHARE = 0.002
-#: Shingles that are counted together, and the texts and bytes at least that a counting task reads if there are so many.
+#: Shingles, up to twice as many, that are counted together, and the texts and bytes at least that a counting task reads if there are so many.
 COUNTED_AT_ONCE = 4_000_000
-COUNTED_TEXTS, COUNTED_BYTES = 5_000, 64 << 20
+COUNTED_TEXTS, COUNTED_BYTES = 25_000, 64 << 20
 #: Members of a leader that are compared in one task.
 MEMBERS = 2_000
 #: Texts of a bucket, beyond its leader's, that are compared with each other in one task.
@@ -89,10 +89,10 @@ def candidate_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts = [], 0, 0
+        held: list[tuple[np.ndarray, int]] = []
 
-        def count() -> pa.RecordBatch:
-            g = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        def count(own: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+            g, texts = np.sort(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in own)])), sum(n for _, n in own)
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(g)))
             keep = n >= RARE_SHARE / 2 * texts
@@ -102,13 +102,13 @@ def candidate_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
             for x in slices(batch, "text"):
                 h, at, _, _ = words(x.column("text"))
                 g, _, off = distinct_counts(*shingles(h, at, SHINGLE_WORDS))
-                held.append(g)
-                size += len(g)
-                texts += int((np.diff(off) > 0).sum())
-                if size >= COUNTED_AT_ONCE:
-                    yield count()
-                    held, size, texts = [], 0, 0
-        yield count()
+                held.append((g, int((np.diff(off) > 0).sum())))
+                size = np.cumsum([len(g) for g, _ in held])
+                if size[-1] >= 2 * COUNTED_AT_ONCE:  # a batch stays behind, so that the last one is no small rest
+                    cut = int(np.searchsorted(size, COUNTED_AT_ONCE)) + 1
+                    yield count(held[:cut])
+                    held = held[cut:]
+        yield count(held)
 
     all_ = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     parts = max(1, all_.n // COUNTED_TEXTS, all_.b // COUNTED_BYTES)
