@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import edge_rows, edited, frame, prose, vocabulary
 from pyspark.sql import functions as F
 
@@ -60,3 +61,31 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert D.contaminated(frame(spark, [(1, "a b c")]), bench).count() == 0
     assert D.contaminated(frame(spark, []), spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")).count() == 0
+
+
+def test_search_against_all_alignments(spark):
+    """Seeds find nothing that plain alignment of all pairs does not, and most of it: all copies up to 10 % of edits, and of those over the score at 20 to 40 %, 0.9."""
+    rng, words = random.Random(11), vocabulary(1500)
+    weighted = lambda n: " ".join(words[min(int(rng.paretovariate(0.6)) - 1, len(words) - 1)] for _ in range(n))  # noqa: E731  frequent words among rare ones
+
+    def altered(text, share):
+        out = []
+        for w in text.split():
+            x = rng.random()
+            out += [w] if x >= share else rng.choice([[], [rng.choice(words)], [w, rng.choice(words)]])
+        return " ".join(out)
+
+    items, rows, rate = [(i, weighted(rng.randrange(12, 40))) for i in range(15)], [], {}
+    for i in range(250):
+        rate[i] = (i % 5) / 10
+        rows.append((i, " ".join([weighted(25), altered(items[i % 15][1], rate[i]), weighted(25)]), "en", "s", 1))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(frame(spark, rows), bench).collect()}
+    it, want = D.Items(*map(list, zip(*items))), set()
+    for doc, text, *_ in rows:
+        h = D.words(pa.array([text]))[0]
+        want |= {(doc, it.ids[i]) for i, w in enumerate(it.words) if D.smith_waterman(w, h)[0] >= D.MIN_SCORE * D.MATCH * len(w)}
+    assert got <= want
+    recall = {r: (len({p for p in want & got if rate[p[0]] == r}), len({p for p in want if rate[p[0]] == r})) for r in sorted(set(rate.values()))}
+    print(recall)
+    assert all(a == b for r, (a, b) in recall.items() if r <= 0.1) and sum(a for r, (a, _) in recall.items() if r > 0.1) >= 0.9 * sum(b for r, (_, b) in recall.items() if r > 0.1), recall
