@@ -29,7 +29,7 @@ MODEL_WORDS, TAILS = 4_096, 32
 TRAINER_BYTES, ROUNDS = 10 << 20, 2
 COUNTED_AT_ONCE = 3_000_000
 #: Bytes of text whose texts share a trainer's lanes.
-TRAINED_AT_ONCE = 4 << 20
+TRAINED_AT_ONCE = 12 << 20
 #: Weights of a chunk, and trainers whose chunks are averaged in one task; averages of more are averaged again.
 CHUNK, AVERAGED = 1 << 16, 64
 END = np.uint64(0x9E3779B97F4A7C15)

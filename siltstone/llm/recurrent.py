@@ -12,9 +12,10 @@ import numpy as np
 
 CLASS_WORDS = 128
 HIDDEN = 24
-LANES_TRAINING, LANES_SCORING = 64, 256
+LANES_TRAINING, LANES_SCORING = 256, 512
 WINDOW_TRAINING, WINDOW_SCORING = 16, 32
-RATE = 0.08
+#: Gradients are means over a full window, so the first squares are small enough for a step to grow with its tokens.
+RATE, START_SQUARE = 0.08, 6e-5
 
 
 def sizes(words: int, tails: int) -> tuple[int, int]:
@@ -97,40 +98,72 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _soft(x: np.ndarray) -> np.ndarray:
-    """Softmax in place."""
-    x -= x.max(axis=1, keepdims=True)
+def _odds(x: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logits to their exponentials in place, less the row's sum at the flat places ``own``: divided by that sum, the gradient.
+
+    Returns the rows' negative log probabilities, summed, and the sums of exponentials. These need no shift: states are
+    within 1, and start() centres the biases. Rows are not divided here, as a row of weights or states is far shorter.
+    """
+    flat = x.ravel()
+    pick = flat.take(own)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    s = x @ np.ones(x.shape[1], x.dtype)
+    flat[own] -= s
+    return float(np.log(s).sum() - pick.sum()), s
+
+
+def _with_ones(x: np.ndarray) -> np.ndarray:
+    """A last column of ones, so that a product adds biases, and the transposed one sums over rows."""
+    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1] = x
+    return out
+
 
+def forward(p: dict[str, np.ndarray], before: np.ndarray, begin: int, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """States after each step of a window (steps, lanes, HIDDEN), the last state, and what backpropagation needs.
 
-def forward(p: dict[str, np.ndarray], before: np.ndarray, begin: int, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
-    """States after each step of a window (steps, lanes, HIDDEN), the last state, and what backpropagation needs."""
+    Inside, lanes are the last axis: each gate is then one run of memory.
+    """
     steps, b = before.shape
-    out, cache = np.empty((steps, b, HIDDEN), np.float32), []
     k = HIDDEN
+    x = np.ascontiguousarray(p["x"].take(before.ravel(), axis=0).reshape(steps, b, 3 * k).transpose(0, 2, 1))
+    u = np.ascontiguousarray(p["u"].T)
+    out, h = np.empty((steps, k, b), np.float32), np.ascontiguousarray(h.T)
+    old, inner = (np.empty((steps, k, b), x.dtype), np.empty((steps, k, b), x.dtype)) if keep else (None, None)
+    new = before == begin
+    some = new.any(axis=1)
+    g, short = np.empty((3 * k, b), x.dtype), np.empty((k, b), x.dtype)
     for t in range(steps):
-        new = before[t] == begin
-        if new.any():
-            h = np.where(new[:, None], np.float32(0), h)
-        x = p["x"][before[t]]
-        g = h @ p["u"]
-        zr = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-        nxt = n + z * (h - n)
+        if some[t]:
+            h = h * ~new[t]
         if keep:
-            cache.append((h, z, r, n, g[:, 2 * k :], new))
-        h = out[t] = nxt
-    return out, h, cache
+            old[t] = h
+        np.matmul(u, h, out=g)
+        zr, n, nxt = x[t, : 2 * k], x[t, 2 * k :], out[t]
+        zr += g[: 2 * k]
+        _sigmoid(zr)
+        if keep:
+            inner[t] = g[2 * k :]
+        np.multiply(zr[k:], g[2 * k :], out=short)
+        n += short
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=nxt)
+        nxt *= zr[:k]
+        nxt += n
+        h = nxt
+    return out.transpose(0, 2, 1), h.T, (old, x, inner, new, some)
+
+
+def _short(x: np.ndarray, most: int) -> np.ndarray:
+    """Keys of two bytes where they fit: these are sorted by radix."""
+    return x.astype(np.uint16) if most < 1 << 16 else x
 
 
 def by_class(token: np.ndarray, words: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Places of word tokens in the order of their classes, and (class, first, end) of each class there."""
     at = np.flatnonzero(token < words)
     cls = token[at] // CLASS_WORDS
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(_short(cls, words), kind="stable")
     at, cls = at[order], cls[order]
     edge = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1], [True]))) if len(cls) else np.zeros(1, int)
     return at, [(int(cls[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:])]
@@ -142,20 +175,21 @@ def token_class(token: np.ndarray, words: int) -> np.ndarray:
 
 def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, token: np.ndarray, words: int) -> np.ndarray:
     """Natural log of each token's probability given the state that predicts it."""
-    logits = states @ p["wc"]  # sums of exponentials need no shift: states are within 1, and start() centres the biases
-    logits += p["bc"]
+    hs = _with_ones(states)
+    logits = hs @ np.vstack([p["wc"], p["bc"]])
     pick = logits[np.arange(len(token)), token_class(token, words)]
     np.exp(logits, out=logits)
-    out = (pick - np.log(logits.sum(axis=1))).astype(np.float64)
+    out = (pick - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).astype(np.float64)
     at, groups = by_class(token, words)
+    hs, tok, ww = hs.take(at, axis=0), token.take(at), np.column_stack([p["ww"], p["bw"]])
+    within = np.empty(len(at), hs.dtype)
     for c, a, b in groups:
         lo, hi = c * CLASS_WORDS, min(words, (c + 1) * CLASS_WORDS)
-        rows = at[a:b]
-        x = states[rows] @ p["ww"][lo:hi].T
-        x += p["bw"][lo:hi]
-        own = x[np.arange(len(rows)), token[rows] - lo]
+        x = hs[a:b] @ ww[lo:hi].T
+        own = x[np.arange(b - a), tok[a:b] - lo]
         np.exp(x, out=x)
-        out[rows] += own - np.log(x.sum(axis=1))
+        within[a:b] = own - np.log(x @ np.ones(hi - lo, x.dtype))
+    out[at] += within
     return out
 
 
@@ -183,17 +217,18 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], words: int, tails: int):
         self.p, self.words, self.tails = p, words, tails
-        self.square = {k: np.full(v.shape, 1e-3, np.float32) for k, v in p.items()}
+        self.square = {k: np.full(v.shape, START_SQUARE, np.float32) for k, v in p.items()}
         self.tokens = 0
 
     def _step(self, k: str, g: np.ndarray, rows=None) -> None:
-        if rows is None:
-            self.square[k] += g * g
-            self.p[k] -= RATE * g / np.sqrt(self.square[k])
-        else:
-            s = self.square[k][rows] + g * g
-            self.square[k][rows] = s
-            self.p[k][rows] -= RATE * g / np.sqrt(s)
+        w, s = (self.p[k], self.square[k]) if rows is None else (self.p[k][rows], self.square[k][rows])
+        s += g * g
+        move = np.sqrt(s)
+        np.divide(g, move, out=move)
+        move *= RATE
+        w -= move
+        if rows is not None and not isinstance(rows, slice):
+            self.square[k][rows], self.p[k][rows] = s, w
 
     def learn(self, ids: np.ndarray, offsets: np.ndarray) -> None:
         begin = self.words + self.tails
@@ -215,51 +250,68 @@ class Trainer:
         """
         p, words, k = self.p, self.words, HIDDEN
         begin = words + self.tails
-        states, last, cache = forward(p, before, begin, h, True)
-        hs, tok = states[valid], token[valid]
-        m = np.float32(WINDOW_TRAINING * LANES_TRAINING)
-        soft = _soft(hs @ p["wc"] + p["bc"])
+        states, last, (old, x, inner, new, some) = forward(p, before, begin, h, True)
+        whole = valid.all()
+        hs, tok = _with_ones(states.reshape(-1, k) if whole else states[valid]), token[valid]
+        m = float(WINDOW_TRAINING * LANES_TRAINING)
+        each = np.arange(len(tok))
+        soft = hs @ np.vstack([p["wc"], p["bc"]])
         cls = token_class(tok, words)
-        loss = -float(np.log(soft[np.arange(len(tok)), cls] + 1e-30).sum())
-        soft[np.arange(len(tok)), cls] -= 1
-        soft /= m
-        grads: dict = {"wc": hs.T @ soft, "bc": soft.sum(axis=0)}
+        loss, total = _odds(soft, each * soft.shape[1] + cls)
+        share = (1 / m / total)[:, None]
+        gc = (hs * share).T @ soft
+        grads: dict = {"wc": gc[:-1], "bc": gc[-1]}
         dh = soft @ p["wc"].T
+        dh *= share
         at, groups = by_class(tok, words)
+        sorted_hs, sorted_tok, ww = hs.take(at, axis=0), tok.take(at), np.column_stack([p["ww"], p["bw"]])
+        back = np.empty((len(at), k), dh.dtype)
         word_rows = []
         for c, a, b in groups:
             lo, hi = c * CLASS_WORDS, min(words, (c + 1) * CLASS_WORDS)
-            rows = at[a:b]
-            q = _soft(hs[rows] @ p["ww"][lo:hi].T + p["bw"][lo:hi])
-            own = (np.arange(len(rows)), tok[rows] - lo)
-            loss -= float(np.log(q[own] + 1e-30).sum())
-            q[own] -= 1
-            q /= m
-            dh[rows] += q @ p["ww"][lo:hi]
-            word_rows.append((slice(lo, hi), q.T @ hs[rows], q.sum(axis=0)))
+            q = sorted_hs[a:b] @ ww[lo:hi].T
+            more, total = _odds(q, each[: b - a] * (hi - lo) + (sorted_tok[a:b] - lo))
+            loss += more
+            share = (1 / m / total)[:, None]
+            np.matmul(q, p["ww"][lo:hi], out=back[a:b])
+            back[a:b] *= share
+            gw = ((sorted_hs[a:b] * share).T @ q).T.copy()
+            word_rows.append((slice(lo, hi), gw[:, :-1], gw[:, -1]))
         grads["words"] = word_rows
-        full = np.zeros_like(states)
-        full[valid] = dh
-        du = np.zeros_like(p["u"])
-        dx = np.zeros((*before.shape, 3 * k), np.float32)
-        carry = np.zeros_like(h)
+        dh[at] += back
+        if whole:
+            full = np.ascontiguousarray(dh.reshape(*before.shape, k).transpose(0, 2, 1))
+        else:
+            full = np.zeros(old.shape, dh.dtype)
+            full.transpose(0, 2, 1)[valid] = dh
+        z, r, n = x[:, :k], x[:, k : 2 * k], x[:, 2 * k :]
+        to_z = (old - n) * z * (1 - z)
+        to_n = (1 - z) * (1 - n * n)
+        inner *= r * (1 - r)  # to r
+        dx, dg = np.empty_like(x), np.empty_like(x[0])
+        du, carry, through = np.zeros_like(p["u"]), np.zeros_like(old[0]), np.empty_like(old[0])
         for t in range(len(before) - 1, -1, -1):
-            h0, z, r, n, gn, new = cache[t]
-            d = full[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            du += h0.T @ dg
-            carry = d * z + dg @ p["u"].T
-            carry[new] = 0
+            d, dt = full[t], dx[t]
+            d += carry
+            np.multiply(to_z[t], d, out=dt[:k])
+            np.multiply(to_n[t], d, out=dt[2 * k :])
+            np.multiply(inner[t], dt[2 * k :], out=dt[k : 2 * k])
+            dg[: 2 * k] = dt[: 2 * k]
+            np.multiply(dt[2 * k :], r[t], out=dg[2 * k :])
+            du += old[t] @ dg.T
+            np.matmul(p["u"], dg, out=carry)
+            np.multiply(d, z[t], out=through)
+            carry += through
+            if some[t]:
+                carry[:, new[t]] = 0
         grads["u"] = du
-        flat, rows = dx.reshape(-1, 3 * k), before.ravel()
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], rows[order][1:] != rows[order][:-1])))
-        grads["x"] = (rows[order][first], np.add.reduceat(flat[order], first, axis=0))
-        return grads, last, loss / float(m)
+        rows = before.ravel()
+        order = np.argsort(_short(rows, begin), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        flat = dx.transpose(0, 2, 1).reshape(-1, 3 * k).take(order, axis=0)
+        grads["x"] = (rows[first], np.add.reduceat(flat, first, axis=0))
+        return grads, last, loss / m
 
     def _window(self, before: np.ndarray, token: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
         g, last, _ = self.gradients(before, token, valid, h)
