@@ -67,12 +67,12 @@ class Items:
         self.grams = [grams[s:e][whole[s:e]] for s, e in zip(at[:-1], at[1:])]
         self.table = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
 
-    def choose(self, df: dict[int, int], texts: int) -> None:
-        """Keep the seeds: sorted hashes, and for each the (item, place) pairs that have it."""
+    def choose(self, df: np.ndarray, texts: int) -> None:
+        """Keep the seeds: sorted hashes, and for each the (item, place) pairs that have it. ``df``: texts that hold each n-gram of the table."""
         places = defaultdict(list)
         self.need = []
         for i, g in enumerate(self.grams):
-            count = np.array([df.get(int(x), 0) for x in g])
+            count = df[np.searchsorted(self.table, g)]
             rare = count <= max(RARE_SHARE * texts, float(np.median(count)) if len(count) else 0)
             for p in np.flatnonzero(rare):
                 places[int(g[p])].append((i, int(p)))
@@ -98,8 +98,8 @@ def find(values: np.ndarray, whole: np.ndarray, table: np.ndarray, filter_: np.n
     return maybe[hit], k[hit]
 
 
-def count_grams(docs: DataFrame, items) -> dict[int, int]:
-    """In how many texts each n-gram of the items occurs."""
+def count_grams(docs: DataFrame, items) -> np.ndarray:
+    """In how many texts each n-gram of the items' table occurs. The driver holds two numbers for each, no row objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = items.value
@@ -115,8 +115,11 @@ def count_grams(docs: DataFrame, items) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(it.table[some].astype(np.int64)), pa.array(total[some])], names=["g", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    return {r.g & (2**64 - 1): r.n for r in rows}
+    rows = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    table = items.value.table
+    out = np.zeros(len(table), np.int64)
+    out[np.searchsorted(table, rows.column("g").to_numpy().astype(np.uint64))] = rows.column("n").to_numpy()
+    return out
 
 
 def matches(it: Items, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
