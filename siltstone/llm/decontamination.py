@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .shared import documents
 from .tokens import ngrams, slices, words
+from .worker import task
 
 SEED_WORDS = 3
 #: Of an item's n-grams, the rarer half in the corpus are seeds, and all that at most this share of texts hold.
@@ -101,6 +102,7 @@ def find(values: np.ndarray, whole: np.ndarray, table: np.ndarray, filter_: np.n
 def count_grams(docs: DataFrame, items) -> np.ndarray:
     """In how many texts each n-gram of the items' table occurs. The driver holds two numbers for each, no row objects."""
 
+    @task("decontamination")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = items.value
         f, total = bits(it.table), np.zeros(len(it.table), np.int64)
@@ -154,6 +156,7 @@ def matches(it: Items, texts: pa.Array) -> list[tuple[int, int, float, int, int]
 def align(docs: DataFrame, items) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of all matches."""
 
+    @task("decontamination")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in slices(batch, "text"):
@@ -199,6 +202,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in item_blocks(docs, benchmark):
 
         @F.pandas_udf("boolean")
+        @task("decontamination")
         def hit(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in column:
                 out = np.zeros(len(texts), bool)

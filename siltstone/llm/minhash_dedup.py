@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .decontamination import bits, find
 from .shared import components, documents, drop_saved, save
 from .tokens import _mix_int, distinct_counts, mix, shingles, slices, words
+from .worker import task
 
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
@@ -88,6 +89,7 @@ def candidate_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
     the other half. Small parts of the input are read together, since a batch of few texts has little to leave out.
     """
 
+    @task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
 
@@ -129,6 +131,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
         return Weights([], texts)
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
+    @task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         filter_, total = bits(table), np.zeros(len(table), np.int64)
@@ -149,6 +152,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
 def signatures(docs: DataFrame, weights) -> DataFrame:
     """(doc_id, d1, d2, bands) of each text with a word: a digest of its shingles and band keys."""
 
+    @task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_of, pool = weights.value, _draws()
         for batch in batches:
@@ -204,6 +208,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
         .select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_member"), F.col("leader").alias("member"), "text")
     )
 
+    @task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_of, now, own = weights.value, None, []
         for batch in batches:
@@ -286,6 +291,7 @@ def rival_links(left: DataFrame, texts: DataFrame, weights) -> DataFrame:
                     comp[comp == comp[y]] = comp[s]
         return out
 
+    @task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_of, now, held = weights.value, None, []
         make = lambda got: pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import documents, fresh_path
 from .tokens import _IS_WHITE, slices, span_hashes, spans, text_buffer
+from .worker import kept, task
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -38,14 +39,11 @@ LATIN_END = "\u0180"
 DOTTED = "\u0130"
 
 _IS_ALNUM = np.array([i < 0x80 and chr(i).isalnum() for i in range(256)])
-_ready: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file; what it has learned of words serves later tasks too."""
-    if path not in _ready:
-        _ready[path] = WordEncoder(path)
-    return _ready[path]
+    """The worker's encoder for a tokenizer file; what it has learned of words serves later tasks of these files too."""
+    return kept("token_files", path, lambda: WordEncoder(path))
 
 
 class WordEncoder:
@@ -192,6 +190,7 @@ def token_rows(docs: DataFrame, order: list, tokenizer_path: str, end_id: int =
     keys = [*names, "doc_id"]
     ranged = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
+    @task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = encoder(tokenizer_path), 0
         for batch in batches:
@@ -234,7 +233,8 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     for part, n in totals:
         parts.append((part, before))
         before += n
-    offsets = F.broadcast(spark.createDataFrame(parts, "part int, before long"))
+    table = pa.table([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int64())], names=["part", "before"])
+    offsets = F.broadcast(spark.createDataFrame(table))  # from Arrow: rows would start further Python workers
     out = rows.join(offsets, "part").withColumn("start", F.col("before") + F.col("at"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
@@ -242,6 +242,7 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
 def ids_checksum(df: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows that ``read_tokens`` returns."""
 
+    @task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ids = x.column("ids")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import crc_mod, documents, drop_saved, save
+from .worker import kept, task
 
 #: At most so many labelled rows of each kind are learned from, the smallest by a hash of doc_id.
 TOXIC_ROWS = 8_000
@@ -222,6 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], np.nd
     if not totals.get(1) or not totals.get(0):
         return {}, nothing
 
+    @task("toxicity")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for x in batches:
@@ -245,6 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], np.nd
     candidates = {bytes(r.w): (r.odds, r.tox) for r in found}
     shared = spark.sparkContext.broadcast(frozenset(candidates))
 
+    @task("toxicity")
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -271,15 +274,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], np.nd
     return insults, fit_logistic(rows[FEATURES].to_numpy(float), rows["_toxic"].to_numpy(float))
 
 
-_ready: dict[object, Grammar] = {}
-
-
 def _grammar(insults: dict[bytes, float]) -> Grammar:
-    key = tuple(sorted(insults.items()))
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Grammar(insults)
-    return _ready[key]
+    return kept("toxicity", tuple(sorted(insults.items())), lambda: Grammar(insults))
 
 
 def with_features(df: DataFrame, insults: dict[bytes, float], text: str = "text") -> DataFrame:
@@ -290,6 +286,7 @@ def with_features(df: DataFrame, insults: dict[bytes, float], text: str = "text"
     for f in FEATURES:
         schema = schema.add(f, "double")
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = _grammar(shared.value)
         for x in batches:
@@ -322,6 +319,7 @@ def accepted(docs: DataFrame, model: tuple[dict[bytes, float], np.ndarray]) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @task("toxicity")
     def score(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         insults, weights = shared.value
         g = _grammar(insults)
