@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import recurrent
-from .shared import crc_mod, documents, save
+from .shared import crc_mod, documents, drop_saved, save
 from .tokens import slices, text_buffer, words
 
 #: Words whose counts every worker holds, at most; the counts of all others meet their words in a join.
@@ -32,6 +32,8 @@ COUNTED_AT_ONCE = 3_000_000
 TRAINED_AT_ONCE = 12 << 20
 #: Weights of a chunk, and trainers whose chunks are averaged in one task; averages of more are averaged again.
 CHUNK, AVERAGED = 1 << 16, 64
+#: A model token in storage.
+ID = np.dtype("<u2")
 END = np.uint64(0x9E3779B97F4A7C15)
 LN10 = float(np.log(10.0))
 
@@ -169,20 +171,33 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     trainers = max(1, round(size / TRAINER_BYTES))
     own = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers)).cast("int")
-    dealt = docs.select("doc_id", "text", own.alias("_t")).repartitionById(trainers, F.col("_t")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("_t", "text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(vocab)
+        for batch in batches:
+            for x in slices(batch, "text"):
+                h, off, tail = tokens_of(x.column("text"))
+                ids = v.model_ids(v.find(h), tail).astype(ID)
+                lists = pa.Array.from_buffers(pa.binary(), x.num_rows, [None, pa.py_buffer((off * ID.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("_t"), x.column("size"), lists], names=["doc_id", "_t", "size", "ids"])
+
+    # texts become tokens once, all rounds read these
+    encoded = save(docs.select("doc_id", "text", own.alias("_t"), F.octet_length("text").alias("size")).mapInArrow(encode, "doc_id long, _t int, size int, ids binary"), "lm-ids")
+    dealt = encoded.repartitionById(trainers, F.col("_t")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids").select("_t", "size", "ids")
     flat = first
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = _vocabulary(vocab)
             t = recurrent.Trainer(recurrent.unpack(now.value, words_, tails), words_, tails)
             me = 0
             for batch in batches:
-                for x in slices(batch, "text", TRAINED_AT_ONCE):
+                for x in slices(batch, "size", TRAINED_AT_ONCE):
                     me = x.column("_t")[0].as_py()
-                    h, off, tail = tokens_of(x.column("text"))
-                    t.learn(v.model_ids(v.find(h), tail), off)
+                    ids = x.column("ids").cast(pa.large_binary())
+                    _, at, raw = ids.buffers()
+                    off = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1] // ID.itemsize
+                    t.learn(np.frombuffer(raw, ID, int(off[-1]))[off[0] :].astype(np.int32), off - off[0])
             if t.tokens:
                 w = recurrent.pack(t.p)
                 parts = [w[i : i + CHUNK].tobytes() for i in range(0, len(w), CHUNK)]
@@ -215,6 +230,7 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
         rows = rows.collect()  # one model
         if rows:
             flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.chunk)])
+    drop_saved(encoded)
     return flat
 
 

@@ -114,8 +114,8 @@ def _odds(x: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray]:
 
 def _with_ones(x: np.ndarray) -> np.ndarray:
     """A last column of ones, so that a product adds biases, and the transposed one sums over rows."""
-    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
-    out[:, :-1] = x
+    out = np.ones((*x.shape[:-1], x.shape[-1] + 1), x.dtype)
+    out[..., :-1] = x
     return out
 
 
@@ -252,7 +252,7 @@ class Trainer:
         begin = words + self.tails
         states, last, (old, x, inner, new, some) = forward(p, before, begin, h, True)
         whole = valid.all()
-        hs, tok = _with_ones(states.reshape(-1, k) if whole else states[valid]), token[valid]
+        hs, tok = _with_ones(states if whole else states[valid]).reshape(-1, k + 1), token[valid]
         m = float(WINDOW_TRAINING * LANES_TRAINING)
         each = np.arange(len(tok))
         soft = hs @ np.vstack([p["wc"], p["bc"]])
@@ -264,20 +264,24 @@ class Trainer:
         dh = soft @ p["wc"].T
         dh *= share
         at, groups = by_class(tok, words)
-        sorted_hs, sorted_tok, ww = hs.take(at, axis=0), tok.take(at), np.column_stack([p["ww"], p["bw"]])
-        back = np.empty((len(at), k), dh.dtype)
-        word_rows = []
+        hs, tok, ww = hs.take(at, axis=0), tok.take(at), np.column_stack([p["ww"], p["bw"]])
+        if words % CLASS_WORDS:  # the last class is filled up with words of no probability
+            ww = np.concatenate([ww, np.zeros((-words % CLASS_WORDS, k + 1), ww.dtype)])
+            ww[words:, -1] = -np.inf
+        ww = ww.reshape(-1, CLASS_WORDS, k + 1)
+        soft, back, gw = np.empty((len(at), CLASS_WORDS), dh.dtype), np.empty((len(at), k), dh.dtype), np.zeros_like(ww)
         for c, a, b in groups:
-            lo, hi = c * CLASS_WORDS, min(words, (c + 1) * CLASS_WORDS)
-            q = sorted_hs[a:b] @ ww[lo:hi].T
-            more, total = _odds(q, each[: b - a] * (hi - lo) + (sorted_tok[a:b] - lo))
-            loss += more
-            share = (1 / m / total)[:, None]
-            np.matmul(q, p["ww"][lo:hi], out=back[a:b])
-            back[a:b] *= share
-            gw = ((sorted_hs[a:b] * share).T @ q).T.copy()
-            word_rows.append((slice(lo, hi), gw[:, :-1], gw[:, -1]))
-        grads["words"] = word_rows
+            np.matmul(hs[a:b], ww[c].T, out=soft[a:b])
+        more, total = _odds(soft, each[: len(at)] * CLASS_WORDS + tok % CLASS_WORDS)
+        loss += more
+        share = (1 / m / total)[:, None]
+        hs *= share
+        for c, a, b in groups:
+            np.matmul(soft[a:b], ww[c, :, :-1], out=back[a:b])
+            gw[c] = (hs[a:b].T @ soft[a:b]).T
+        back *= share
+        gw = gw.reshape(-1, k + 1)[:words]
+        grads["words"] = [(slice(0, words), gw[:, :-1], gw[:, -1])]  # no step where it is zero
         dh[at] += back
         if whole:
             full = np.ascontiguousarray(dh.reshape(*before.shape, k).transpose(0, 2, 1))

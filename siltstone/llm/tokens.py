@@ -187,8 +187,10 @@ def distinct_counts(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about ``limit`` bytes, at least a row each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    """The batch in runs of rows whose texts hold about ``limit`` bytes, at least a row each. ``text``: the texts or their lengths."""
+    size = batch.column(text)
+    size = size if pa.types.is_integer(size.type) else pc.binary_length(size)
+    size = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
         done = size[i - 1] if i else 0

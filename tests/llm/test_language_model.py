@@ -198,3 +198,23 @@ def test_whole_scores_equal_plain_code(spark, monkeypatch):
             if i >= v.model:  # the word's add-one share of its tail class
                 want += math.log10((c[w] + 1) / (v.tail_tokens[t] + v.tail_words[t] + 1))
         assert abs(r.score - want) < 1e-3 * max(1, abs(want)), (r, want)
+
+
+def test_a_window_steps_each_table_of_weights_once(monkeypatch):
+    words, rng, steps = 3 * R.CLASS_WORDS - 5, np.random.default_rng(2), []
+    t = R.Trainer(R.start(np.arange(words + 4, 0, -1.0), 4), words, 4)
+    step = R.Trainer._step
+    monkeypatch.setattr(R.Trainer, "_step", lambda self, k, *a: steps.append(k) or step(self, k, *a))
+    old = R.pack(t.p)
+    t.learn(rng.integers(0, words + 4, R.WINDOW_TRAINING).astype(np.int32), np.array([0, R.WINDOW_TRAINING]))
+    assert sorted(steps) == sorted(t.p) and np.isfinite(R.pack(t.p)).all() and not np.array_equal(old, R.pack(t.p))
+
+
+def test_texts_become_tokens_once_for_all_rounds(spark, monkeypatch):
+    docs = frame(spark, corpus(40) + [(900, None)])
+    v = L.vocabulary(L.count_tokens(docs))
+    first, inputs = R.pack(R.start(np.concatenate([v.c[: v.model], v.tail_tokens]), L.TAILS)), []
+    f = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a: inputs.append(self.columns) or f(self, run, *a))
+    L.train(docs, spark.sparkContext.broadcast(v), first)
+    assert sum("text" in x for x in inputs) == 1 < L.ROUNDS
