@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .worker import keep_freed
+
 CLASS_WORDS = 128
 HIDDEN = 24
 LANES_TRAINING, LANES_SCORING = 256, 512
@@ -91,10 +93,11 @@ def laid_out(ids: np.ndarray, offsets: np.ndarray, count: int, begin: int) -> tu
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
+    """In place; a tangent takes less time than an exponential and a reciprocal."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
     return x
 
 
@@ -126,32 +129,34 @@ def forward(p: dict[str, np.ndarray], before: np.ndarray, begin: int, h: np.ndar
     """
     steps, b = before.shape
     k = HIDDEN
-    x = np.ascontiguousarray(p["x"].take(before.ravel(), axis=0).reshape(steps, b, 3 * k).transpose(0, 2, 1))
     u = np.ascontiguousarray(p["u"].T)
-    out, h = np.empty((steps, k, b), np.float32), np.ascontiguousarray(h.T)
-    old, inner = (np.empty((steps, k, b), x.dtype), np.empty((steps, k, b), x.dtype)) if keep else (None, None)
+    out, h, old = np.empty((steps, k, b), np.float32), np.ascontiguousarray(h.T), []
+    gates = np.empty((steps if keep else 1, 3 * k, b), u.dtype)
+    less, inner = (np.empty((steps, k, b), u.dtype), np.empty((steps, k, b), u.dtype)) if keep else (None, None)
     new = before == begin
     some = new.any(axis=1)
-    g, short = np.empty((3 * k, b), x.dtype), np.empty((k, b), x.dtype)
+    g, short, rows = np.empty((3 * k, b), u.dtype), np.empty((k, b), u.dtype), np.empty((b, 3 * k), u.dtype)
     for t in range(steps):
         if some[t]:
             h = h * ~new[t]
-        if keep:
-            old[t] = h
+        x, nxt = gates[t if keep else 0], out[t]
+        p["x"].take(before[t], axis=0, out=rows, mode="clip")  # all are within; the default mode copies
+        x[...] = rows.T
         np.matmul(u, h, out=g)
-        zr, n, nxt = x[t, : 2 * k], x[t, 2 * k :], out[t]
+        zr, n = x[: 2 * k], x[2 * k :]
         zr += g[: 2 * k]
         _sigmoid(zr)
-        if keep:
-            inner[t] = g[2 * k :]
         np.multiply(zr[k:], g[2 * k :], out=short)
         n += short
         np.tanh(n, out=n)
-        np.subtract(h, n, out=nxt)
-        nxt *= zr[:k]
+        if keep:
+            old.append(h)
+            inner[t] = g[2 * k :]
+        rest = np.subtract(h, n, out=less[t] if keep else short)
+        np.multiply(rest, zr[:k], out=nxt)
         nxt += n
         h = nxt
-    return out.transpose(0, 2, 1), h.T, (old, x, inner, new, some)
+    return out.transpose(0, 2, 1), h.T, (old, less, gates, inner, new, some)
 
 
 def _short(x: np.ndarray, most: int) -> np.ndarray:
@@ -195,15 +200,17 @@ def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, token: np.nd
 
 def score(p: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray, words: int, tails: int) -> np.ndarray:
     """Natural log probability of each text; the state runs on from window to window until the text ends."""
+    keep_freed()
     begin = words + tails
     total = np.zeros(len(offsets) - 1)
     before, token, text, length = laid_out(ids, offsets, LANES_SCORING, begin)
     if not len(length):
         return total
     h = np.zeros((len(length), HIDDEN), np.float32)
-    for s in range(0, len(before), WINDOW_SCORING):
-        e = min(s + WINDOW_SCORING, len(before))
-        active = int((length > s).sum())
+    e = 0
+    while e < len(before):
+        s, active = e, int((length > e).sum())
+        e = min(s + WINDOW_SCORING * LANES_SCORING // min(active, LANES_SCORING), len(before))  # the fewer lanes, the more steps at once
         states, h, _ = forward(p, before[s:e, :active], begin, h[:active], False)
         valid = np.arange(s, e)[:, None] < length[None, :active]
         tok = token[s:e, :active][valid]
@@ -231,6 +238,7 @@ class Trainer:
             self.square[k][rows], self.p[k][rows] = s, w
 
     def learn(self, ids: np.ndarray, offsets: np.ndarray) -> None:
+        keep_freed()
         begin = self.words + self.tails
         before, token, _, length = laid_out(ids, offsets, LANES_TRAINING, begin)
         if not len(length):
@@ -250,7 +258,7 @@ class Trainer:
         """
         p, words, k = self.p, self.words, HIDDEN
         begin = words + self.tails
-        states, last, (old, x, inner, new, some) = forward(p, before, begin, h, True)
+        states, last, (old, less, gates, inner, new, some) = forward(p, before, begin, h, True)
         whole = valid.all()
         hs, tok = _with_ones(states if whole else states[valid]).reshape(-1, k + 1), token[valid]
         m = float(WINDOW_TRAINING * LANES_TRAINING)
@@ -264,44 +272,56 @@ class Trainer:
         dh = soft @ p["wc"].T
         dh *= share
         at, groups = by_class(tok, words)
-        hs, tok, ww = hs.take(at, axis=0), tok.take(at), np.column_stack([p["ww"], p["bw"]])
-        if words % CLASS_WORDS:  # the last class is filled up with words of no probability
-            ww = np.concatenate([ww, np.zeros((-words % CLASS_WORDS, k + 1), ww.dtype)])
-            ww[words:, -1] = -np.inf
+        hs, tok = hs.take(at, axis=0), tok.take(at)
+        # the words of the window's classes; all others have no gradient, and a step leaves them as they are
+        own, n_own = slice(0, words), words
+        if len(groups) * CLASS_WORDS < words:
+            own = np.add.outer([c * CLASS_WORDS for c, _, _ in groups], np.arange(CLASS_WORDS, dtype=np.int64)).ravel().astype(np.int64)
+            own = own[own < words]
+            n_own = len(own)
+        ww = np.empty((len(groups) * CLASS_WORDS, k + 1), dh.dtype)
+        ww[:n_own, :-1], ww[:n_own, -1] = p["ww"][own], p["bw"][own]
+        ww[n_own:, :-1], ww[n_own:, -1] = 0, -np.inf  # the last class is filled up with words of no probability
         ww = ww.reshape(-1, CLASS_WORDS, k + 1)
-        soft, back, gw = np.empty((len(at), CLASS_WORDS), dh.dtype), np.empty((len(at), k), dh.dtype), np.zeros_like(ww)
-        for c, a, b in groups:
-            np.matmul(hs[a:b], ww[c].T, out=soft[a:b])
+        soft, back, gw = np.empty((len(at), CLASS_WORDS), dh.dtype), np.empty((len(at), k), dh.dtype), np.empty((len(groups), k + 1, CLASS_WORDS), dh.dtype)
+        for i, (_, a, b) in enumerate(groups):
+            np.matmul(hs[a:b], ww[i].T, out=soft[a:b])
         more, total = _odds(soft, each[: len(at)] * CLASS_WORDS + tok % CLASS_WORDS)
         loss += more
         share = (1 / m / total)[:, None]
         hs *= share
-        for c, a, b in groups:
-            np.matmul(soft[a:b], ww[c, :, :-1], out=back[a:b])
-            gw[c] = (hs[a:b].T @ soft[a:b]).T
+        for i, (_, a, b) in enumerate(groups):
+            np.matmul(soft[a:b], ww[i, :, :-1], out=back[a:b])
+            np.matmul(hs[a:b].T, soft[a:b], out=gw[i])
         back *= share
-        gw = gw.reshape(-1, k + 1)[:words]
-        grads["words"] = [(slice(0, words), gw[:, :-1], gw[:, -1])]  # no step where it is zero
+        grads["words"] = [(own, np.ascontiguousarray(gw[:, :-1].transpose(0, 2, 1)).reshape(-1, k)[:n_own], gw[:, -1].ravel()[:n_own])]
         dh[at] += back
         if whole:
             full = np.ascontiguousarray(dh.reshape(*before.shape, k).transpose(0, 2, 1))
         else:
-            full = np.zeros(old.shape, dh.dtype)
+            full = np.zeros(less.shape, dh.dtype)
             full.transpose(0, 2, 1)[valid] = dh
-        z, r, n = x[:, :k], x[:, k : 2 * k], x[:, 2 * k :]
-        to_z = (old - n) * z * (1 - z)
-        to_n = (1 - z) * (1 - n * n)
-        inner *= r * (1 - r)  # to r
-        dx, dg = np.empty_like(x), np.empty_like(x[0])
-        du, carry, through = np.zeros_like(p["u"]), np.zeros_like(old[0]), np.empty_like(old[0])
+        z, r, n = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]
+        rest = 1 - z
+        less *= z
+        less *= rest  # to z
+        to_n = n * n
+        np.subtract(1, to_n, out=to_n)
+        to_n *= rest
+        np.subtract(1, r, out=rest)
+        rest *= r
+        inner *= rest  # to r
+        dx, dg = np.empty((*before.shape, 3 * k), dh.dtype), np.empty(gates.shape[1:], dh.dtype)
+        dz, dr, dn = dg[:k], dg[k : 2 * k], dg[2 * k :]
+        du, carry, through = np.zeros_like(p["u"]), np.zeros_like(inner[0]), np.empty_like(inner[0])
         for t in range(len(before) - 1, -1, -1):
-            d, dt = full[t], dx[t]
+            d = full[t]
             d += carry
-            np.multiply(to_z[t], d, out=dt[:k])
-            np.multiply(to_n[t], d, out=dt[2 * k :])
-            np.multiply(inner[t], dt[2 * k :], out=dt[k : 2 * k])
-            dg[: 2 * k] = dt[: 2 * k]
-            np.multiply(dt[2 * k :], r[t], out=dg[2 * k :])
+            np.multiply(less[t], d, out=dz)
+            np.multiply(to_n[t], d, out=dn)
+            np.multiply(inner[t], dn, out=dr)
+            dx[t] = dg.T
+            dn *= r[t]
             du += old[t] @ dg.T
             np.matmul(p["u"], dg, out=carry)
             np.multiply(d, z[t], out=through)
@@ -313,8 +333,9 @@ class Trainer:
         order = np.argsort(_short(rows, begin), kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        flat = dx.transpose(0, 2, 1).reshape(-1, 3 * k).take(order, axis=0)
-        grads["x"] = (rows[first], np.add.reduceat(flat, first, axis=0))
+        flat = dx.reshape(-1, 3 * k).take(order, axis=0)
+        # columns are summed one by one, so two of them as one complex column take half the time
+        grads["x"] = (rows[first], np.add.reduceat(flat.view(np.result_type(flat.dtype, np.complex64)), first, axis=0).view(flat.dtype))
         return grads, last, loss / m
 
     def _window(self, before: np.ndarray, token: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -29,6 +29,18 @@ def give_back() -> None:
         pass
 
 
+def keep_freed(end: int = 64 << 20, most: int = 16 << 20) -> None:
+    """Arrays of up to ``most`` bytes come from the heap, and up to ``end`` freed bytes at its end stay with this process.
+
+    A loop that makes the same arrays again and again would else give their pages back and fault them in anew each time.
+    """
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-3, most), mallopt(-1, end)  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def task(owner: str) -> Callable:
     """For functions over an iterator of batches: a task drops what other operators kept, and leaves no freed memory held."""
 

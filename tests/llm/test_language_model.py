@@ -1,6 +1,9 @@
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -218,3 +221,49 @@ def test_texts_become_tokens_once_for_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a: inputs.append(self.columns) or f(self, run, *a))
     L.train(docs, spark.sparkContext.broadcast(v), first)
     assert sum("text" in x for x in inputs) == 1 < L.ROUNDS
+
+
+def test_a_window_steps_the_classes_it_has(monkeypatch):
+    words, tails = 5 * R.CLASS_WORDS - 9, 3  # the last class is not full
+    p = {k: v.astype(np.float64) for k, v in R.start(np.arange(words + tails, 0, -1.0), tails).items()}
+    t, begin, rng = R.Trainer(p, words, tails), words + tails, np.random.default_rng(8)
+    token = rng.choice([1, 5, R.CLASS_WORDS + 3, words - 1, words - 4, words + 1], (4, 3)).astype(np.int32)
+    before, valid, h = rng.integers(0, begin, (4, 3)).astype(np.int32), np.ones((4, 3), bool), np.zeros((3, R.HIDDEN))
+    g, _, _ = t.gradients(before, token, valid, h)
+    ((part, gw, gb),) = g["words"]
+    assert sorted(set((part // R.CLASS_WORDS).tolist())) == sorted({int(x) // R.CLASS_WORDS for x in token.ravel() if x < words}) and part.max() == words - 1
+
+    def loss():
+        return -R.log_probabilities(p, R.forward(p, before, begin, h, False)[0][valid].astype(np.float64), token[valid], words).sum() / (R.WINDOW_TRAINING * R.LANES_TRAINING)
+
+    for k, grad in (("ww", gw), ("bw", gb)):
+        for s in np.argsort(-np.abs(grad).ravel())[:6]:
+            i, *rest = np.unravel_index(s, grad.shape)
+            at, e = (part[i], *rest), 1e-2
+            p[k][at] += e
+            up = loss()
+            p[k][at] -= 2 * e
+            assert abs((up - loss()) / (2 * e) - grad[i, *rest]) < 2e-2 * abs(grad[i, *rest]) + 2e-6
+            p[k][at] += e
+    old = {k: p[k].copy() for k in ("ww", "bw")}
+    t._window(before, token, valid, h)
+    others = np.setdiff1d(np.arange(words), part)
+    assert all(np.array_equal(old[k][others], t.p[k][others]) and not np.array_equal(old[k], t.p[k]) for k in old)
+
+
+def test_windows_take_no_new_pages():
+    """A window's arrays use the memory of the window before."""
+    code = """if 1:
+        import resource, numpy as np
+        from siltstone.llm import recurrent as R
+        words, n = 2048, 30 * R.WINDOW_TRAINING
+        t = R.Trainer(R.start(np.arange(words + 8, 0, -1.0), 8), words, 8)
+        ids = np.random.default_rng(1).integers(0, words + 8, n * R.LANES_TRAINING).astype(np.int32)
+        faults = []
+        for _ in range(2):
+            t.learn(ids, np.arange(0, len(ids) + 1, n))
+            faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+        print((faults[1] - faults[0]) / 30)"""
+    root = os.path.join(os.path.dirname(R.__file__), "..", "..")
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=120)
+    assert float(out.stdout) < 400, out.stderr
