@@ -16,6 +16,8 @@ CLASS_WORDS = 128
 HIDDEN = 24
 LANES_TRAINING, LANES_SCORING = 256, 512
 WINDOW_TRAINING, WINDOW_SCORING = 16, 32
+#: Rows of a matrix product.
+BLOCK = 512
 #: Gradients are means over a full window, so the first squares are small enough for a step to grow with its tokens.
 RATE, START_SQUARE = 0.08, 6e-5
 
@@ -115,6 +117,29 @@ def _odds(x: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray]:
     return float(np.log(s).sum() - pick.sum()), s
 
 
+def _blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole blocks of rows, and the rows that are left. Products of a block take little more than half the time of one over all rows."""
+    n = len(x) // BLOCK * BLOCK
+    return x[:n].reshape(-1, BLOCK, x.shape[1]), x[n:]
+
+
+def _by_rows(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w"""
+    out = np.empty((len(x), w.shape[1]), x.dtype)
+    for a, o in zip(_blocks(x), _blocks(out)):
+        np.matmul(a, w, out=o)
+    return out
+
+
+def _over_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y"""
+    (x, more_x), (y, more_y) = _blocks(x), _blocks(y)
+    out = more_x.T @ more_y
+    if len(x):
+        out += np.matmul(x.transpose(0, 2, 1), y).sum(axis=0)
+    return out
+
+
 def _with_ones(x: np.ndarray) -> np.ndarray:
     """A last column of ones, so that a product adds biases, and the transposed one sums over rows."""
     out = np.ones((*x.shape[:-1], x.shape[-1] + 1), x.dtype)
@@ -181,7 +206,7 @@ def token_class(token: np.ndarray, words: int) -> np.ndarray:
 def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, token: np.ndarray, words: int) -> np.ndarray:
     """Natural log of each token's probability given the state that predicts it."""
     hs = _with_ones(states)
-    logits = hs @ np.vstack([p["wc"], p["bc"]])
+    logits = _by_rows(hs, np.vstack([p["wc"], p["bc"]]))
     pick = logits[np.arange(len(token)), token_class(token, words)]
     np.exp(logits, out=logits)
     out = (pick - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).astype(np.float64)
@@ -263,11 +288,11 @@ class Trainer:
         hs, tok = _with_ones(states if whole else states[valid]).reshape(-1, k + 1), token[valid]
         m = float(WINDOW_TRAINING * LANES_TRAINING)
         each = np.arange(len(tok))
-        soft = hs @ np.vstack([p["wc"], p["bc"]])
+        soft = _by_rows(hs, np.vstack([p["wc"], p["bc"]]))
         cls = token_class(tok, words)
         loss, total = _odds(soft, each * soft.shape[1] + cls)
         share = (1 / m / total)[:, None]
-        gc = (hs * share).T @ soft
+        gc = _over_rows(hs * share, soft)
         grads: dict = {"wc": gc[:-1], "bc": gc[-1]}
         dh = soft @ p["wc"].T
         dh *= share
@@ -292,7 +317,7 @@ class Trainer:
         hs *= share
         for i, (_, a, b) in enumerate(groups):
             np.matmul(soft[a:b], ww[i, :, :-1], out=back[a:b])
-            np.matmul(hs[a:b].T, soft[a:b], out=gw[i])
+            gw[i] = _over_rows(hs[a:b], soft[a:b]) if b - a > BLOCK else hs[a:b].T @ soft[a:b]
         back *= share
         grads["words"] = [(own, np.ascontiguousarray(gw[:, :-1].transpose(0, 2, 1)).reshape(-1, k)[:n_own], gw[:, -1].ravel()[:n_own])]
         dh[at] += back
