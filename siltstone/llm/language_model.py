@@ -164,26 +164,66 @@ def _vocabulary(shared) -> Vocabulary:
     return v
 
 
-def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
-    """Weights after all rounds. ``docs``: training texts; ``vocab``: a broadcast Vocabulary."""
-    spark = docs.sparkSession
-    words_, tails = vocab.value.model, TAILS
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    trainers = max(1, round(size / TRAINER_BYTES))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers)).cast("int")
+def encode(docs: DataFrame, vocab) -> DataFrame:
+    """Texts as tokens of the recurrent model (``ids``), with all that a score needs besides its probability; saved.
+
+    ``docs``: doc_id, held_out, text. ``rest`` is the log10 of held words' shares of their tail classes, ``cold`` the words that are not held.
+    """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(vocab)
+        log_c = np.log10(np.append(v.c, 0) + 1.0)  # the last place, -1: not held
+        log_tail = np.log10(v.tail_tokens + v.tail_words + 1.0)
+        base_log = np.log10(v.tokens + v.distinct + 1)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for x in slices(batch, "text"):
                 h, off, tail = tokens_of(x.column("text"))
-                ids = v.model_ids(v.find(h), tail).astype(ID)
-                lists = pa.Array.from_buffers(pa.binary(), x.num_rows, [None, pa.py_buffer((off * ID.itemsize).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("_t"), x.column("size"), lists], names=["doc_id", "_t", "size", "ids"])
+                place = v.find(h)
+                ids = v.model_ids(place, tail)
+                n, rows = np.diff(off), x.num_rows
+                text = np.repeat(np.arange(rows), n)
+                lc = log_c[place]
+                base = np.bincount(text, weights=lc, minlength=rows) - n * base_log
+                tails = np.flatnonzero(ids >= v.model)
+                rest = np.bincount(text[tails], weights=lc[tails] - log_tail[tail[tails]], minlength=rows).astype(float)  # of no words: integers
+                cold = np.flatnonzero(place < 0)
+                missing = np.bincount(text[cold], minlength=rows)
+                at = np.concatenate(([0], np.cumsum(missing)))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[cold].astype(np.int64)))
+                tokens = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((off * ID.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(ID))])
+                cols = [pa.array(row + np.arange(rows)), x.column("doc_id"), x.column("held_out"), x.column("size"), pa.array(n), pa.array(n - missing), pa.array(base), pa.array(rest), lists, tokens]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "size", "n_tokens", "n_known", "base_score", "rest", "cold", "ids"])
+                row += rows
+
+    kinds = "row long, doc_id long, held_out boolean, size int, n_tokens long, n_known long, base_score double, rest double, cold array<long>, ids binary"
+    return save(docs.select("doc_id", "held_out", "text", F.octet_length("text").alias("size")).mapInArrow(run, kinds), "lm-ids")
+
+
+def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a batch's texts, and their offsets."""
+    ids = batch.column("ids").cast(pa.large_binary())
+    _, at, raw = ids.buffers()
+    off = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1] // ID.itemsize
+    return np.frombuffer(raw, ID, int(off[-1]))[off[0] :].astype(np.int32), off - off[0]
+
 
-    # texts become tokens once, all rounds read these
-    encoded = save(docs.select("doc_id", "text", own.alias("_t"), F.octet_length("text").alias("size")).mapInArrow(encode, "doc_id long, _t int, size int, ids binary"), "lm-ids")
-    dealt = encoded.repartitionById(trainers, F.col("_t")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids").select("_t", "size", "ids")
+def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
+    """Weights after all rounds. ``docs``: training texts; ``vocab``: a broadcast Vocabulary."""
+    encoded = encode(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), vocab)
+    flat = train_encoded(encoded, vocab, first)
+    drop_saved(encoded)
+    return flat
+
+
+def train_encoded(encoded: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
+    """Weights after all rounds over rows of ``encode``."""
+    spark = encoded.sparkSession
+    words_, tails = vocab.value.model, TAILS
+    size = encoded.agg(F.sum("size").alias("b")).first().b or 0
+    trainers = max(1, round(size / TRAINER_BYTES))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(trainers)).cast("int")
+    dealt = encoded.select("doc_id", own.alias("_t"), "size", "ids").repartitionById(trainers, F.col("_t")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids").select("_t", "size", "ids")
     flat = first
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(flat)
@@ -194,10 +234,7 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
             for batch in batches:
                 for x in slices(batch, "size", TRAINED_AT_ONCE):
                     me = x.column("_t")[0].as_py()
-                    ids = x.column("ids").cast(pa.large_binary())
-                    _, at, raw = ids.buffers()
-                    off = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1] // ID.itemsize
-                    t.learn(np.frombuffer(raw, ID, int(off[-1]))[off[0] :].astype(np.int32), off - off[0])
+                    t.learn(*ids_of(x))
             if t.tokens:
                 w = recurrent.pack(t.p)
                 parts = [w[i : i + CHUNK].tobytes() for i in range(0, len(w), CHUNK)]
@@ -230,52 +267,35 @@ def train(docs: DataFrame, vocab, first: np.ndarray) -> np.ndarray:
         rows = rows.collect()  # one model
         if rows:
             flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.chunk)])
-    drop_saved(encoded)
     return flat
 
 
-def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, held_out, text).
 
     Scores are log10 probabilities of whole texts. Null and empty texts have the end token alone. Without training texts
-    every word is unknown. A repeated row gets its score again; other columns are not read.
+    every word is unknown. A repeated row gets its score again; other columns are not read. Without ``learn_from``
+    the rows that are not held out are learned from, and no text becomes tokens a second time for its score.
     """
     spark = docs.sparkSession
-    counts = save(count_tokens(learn_from), "token-counts")
+    counts = save(count_tokens(docs.where("not held_out") if learn_from is None else learn_from), "token-counts")
     v = vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
-    start = recurrent.start(np.concatenate([v.c[: v.model], v.tail_tokens]), TAILS)
-    weights = spark.sparkContext.broadcast(train(learn_from, shared, recurrent.pack(start)))
-    base_log = float(np.log10(v.tokens + v.distinct + 1))
+    start = recurrent.pack(recurrent.start(np.concatenate([v.c[: v.model], v.tail_tokens]), TAILS))
+    encoded = encode(docs, shared)  # a text becomes tokens once, for training and for its score
+    weights = spark.sparkContext.broadcast(train_encoded(encoded.where("not held_out"), shared, start) if learn_from is None else train(learn_from, shared, start))
+    model, passed = v.model, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "cold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _vocabulary(shared)
-        p = recurrent.unpack(weights.value, own.model, TAILS)
-        log_c = np.log10(own.c + 1.0)
-        log_tail = np.log10(own.tail_tokens + own.tail_words + 1.0)
-        row = TaskContext.get().partitionId() << 40
+        p = recurrent.unpack(weights.value, model, TAILS)
         for batch in batches:
-            for x in slices(batch, "text", 12 << 20):
-                h, off, tail = tokens_of(x.column("text"))
-                place = own.find(h)
-                ids = own.model_ids(place, tail)
-                text = np.repeat(np.arange(x.num_rows), np.diff(off))
-                n = np.diff(off)
-                held = place >= 0
-                tails = ids >= own.model
-                lc = np.where(held, log_c[place] if len(log_c) else 0.0, 0.0)
-                base = np.bincount(text, weights=lc, minlength=x.num_rows) - n * base_log
-                model = recurrent.score(p, ids, off, own.model, TAILS) / LN10
-                model += np.bincount(text[tails], weights=lc[tails] - log_tail[tail[tails]], minlength=x.num_rows)
-                cold = np.flatnonzero(~held)
-                at = np.concatenate(([0], np.cumsum(np.bincount(text[cold], minlength=x.num_rows))))
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[cold].astype(np.int64)))
-                known = np.bincount(text[held], minlength=x.num_rows)
-                cols = [pa.array(row + np.arange(x.num_rows)), x.column("doc_id"), x.column("held_out"), pa.array(n), pa.array(known), pa.array(base), pa.array(model), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "cold"])
-                row += x.num_rows
+            for x in slices(batch, "size", 12 << 20):
+                score = recurrent.score(p, *ids_of(x), model, TAILS) / LN10 + x.column("rest").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(x.column(k) for k in passed), pa.array(score)], names=[*passed, "score"])
 
-    part = save(docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, cold array<long>"), "lm-parts")
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, cold array<long>, score double"
+    part = save(encoded.select(*passed, "size", "rest", "ids").mapInArrow(run, kinds), "lm-parts")
+    drop_saved(encoded)
     cold = part.select("row", F.explode("cold").alias("h")).join(counts.select("h", "c"), "h")
     more = cold.groupBy("row").agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("c") + 1.0)).alias("_s"))
     extra = F.coalesce("_s", F.lit(0.0))
@@ -288,4 +308,4 @@ def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
-    return score_documents(docs.withColumn("held_out", held_out), training(docs))
+    return score_documents(docs.withColumn("held_out", held_out))

@@ -267,3 +267,13 @@ def test_windows_take_no_new_pages():
     root = os.path.join(os.path.dirname(R.__file__), "..", "..")
     out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=120)
     assert float(out.stdout) < 400, out.stderr
+
+
+def test_texts_learned_from_become_tokens_once_for_their_scores_too(spark, monkeypatch):
+    docs = frame(spark, corpus(40) + [(900, None), (901, ""), (902, "w1 never")]).withColumn("held_out", F.col("doc_id") % 5 == 0)
+    want = {r.doc_id: r for r in L.score_documents(docs, docs.where("not held_out")).collect()}
+    inputs, f = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a: inputs.append(self.columns) or f(self, run, *a))
+    got = {r.doc_id: r for r in L.score_documents(docs).collect()}
+    assert sum("text" in x for x in inputs) == 2  # to be counted, and for training and scores
+    assert got.keys() == want.keys() and all(got[i][:6] == want[i][:6] and abs(got[i].score - want[i].score) < 1e-3 * max(1, abs(want[i].score)) for i in want)
