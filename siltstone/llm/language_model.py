@@ -45,12 +45,15 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(at) - 1
     off = at + np.arange(n + 1)
     out, tail = np.full(int(off[-1]), END, np.uint64), np.zeros(int(off[-1]), np.int16)
-    where = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(at))
-    out[where] = h
+    word = np.ones(len(out), bool)
+    word[off[1:] - 1] = False
+    out[word] = h
     if len(h):
-        last = raw[end - 1].astype(np.int64)
-        prior = np.where(end - begin > 1, raw[np.maximum(end - 2, 0)], 0).astype(np.int64)
-        tail[where] = (last * 31 + prior * 7) % TAILS
+        at = end - 1
+        last = raw[at].astype(np.int16)
+        at -= 1
+        prior = raw[at] * (at >= begin)  # 0 for words of one byte
+        tail[word] = (last * 31 + prior * np.int16(7)) % TAILS
     return out, off, tail
 
 
