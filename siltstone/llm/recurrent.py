@@ -16,8 +16,10 @@ CLASS_WORDS = 128
 HIDDEN = 24
 LANES_TRAINING, LANES_SCORING = 256, 512
 WINDOW_TRAINING, WINDOW_SCORING = 16, 32
-#: Rows of a matrix product.
+#: Rows of a matrix product, and of a softmax: what they need then stays in the near caches.
 BLOCK = 512
+#: Rows of a name up to which they are added one by one.
+FEW_ROWS = 16
 #: Gradients are means over a full window, so the first squares are small enough for a step to grow with its tokens.
 RATE, START_SQUARE = 0.08, 6e-5
 
@@ -123,14 +125,6 @@ def _blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:n].reshape(-1, BLOCK, x.shape[1]), x[n:]
 
 
-def _by_rows(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w"""
-    out = np.empty((len(x), w.shape[1]), x.dtype)
-    for a, o in zip(_blocks(x), _blocks(out)):
-        np.matmul(a, w, out=o)
-    return out
-
-
 def _over_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """x.T @ y"""
     (x, more_x), (y, more_y) = _blocks(x), _blocks(y)
@@ -140,6 +134,30 @@ def _over_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(names: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each name once, in any order, and the sums of its rows. Names are 0 to ``most``.
+
+    The names of many rows by products with ones; of all others the first rows, then the second ones and so on: the more
+    rows a name has the further ahead it comes, so those that have a next row are a run.
+    """
+    order = np.argsort(_short(names, most), kind="stable")
+    names = names.take(order)
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    count = np.append(first[1:], len(names)) - first
+    by = np.argsort(_short(len(names) - count, len(names)), kind="stable")
+    first, count = first.take(by), count.take(by)
+    have = np.searchsorted(-count, -np.arange(FEW_ROWS + 1))  # names of more than so many rows
+    many, ones, out = int(have[-1]), np.ones(int(count[0]), x.dtype), np.empty((len(first), x.shape[1]), x.dtype)
+    for i, (a, n) in enumerate(zip(first[:many].tolist(), count[:many].tolist())):
+        np.matmul(ones[:n], x.take(order[a : a + n], axis=0), out=out[i])
+    x.take(order.take(first[many:]), axis=0, out=out[many:], mode="clip")
+    for j in range(1, FEW_ROWS):
+        if have[j] <= many:
+            break
+        out[many : have[j]] += x.take(order.take(first[many : have[j]] + j), axis=0)
+    return names.take(first), out
+
+
 def _with_ones(x: np.ndarray) -> np.ndarray:
     """A last column of ones, so that a product adds biases, and the transposed one sums over rows."""
     out = np.ones((*x.shape[:-1], x.shape[-1] + 1), x.dtype)
@@ -206,10 +224,15 @@ def token_class(token: np.ndarray, words: int) -> np.ndarray:
 def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, token: np.ndarray, words: int) -> np.ndarray:
     """Natural log of each token's probability given the state that predicts it."""
     hs = _with_ones(states)
-    logits = _by_rows(hs, np.vstack([p["wc"], p["bc"]]))
-    pick = logits[np.arange(len(token)), token_class(token, words)]
-    np.exp(logits, out=logits)
-    out = (pick - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).astype(np.float64)
+    wc, cls = np.vstack([p["wc"], p["bc"]]), token_class(token, words)
+    out, logits, each = np.empty(len(token)), np.empty((min(BLOCK, len(token)), wc.shape[1]), hs.dtype), np.arange(BLOCK)
+    for a in range(0, len(token), BLOCK):
+        x = hs[a : a + BLOCK]
+        s = logits[: len(x)]
+        np.matmul(x, wc, out=s)
+        own = s[each[: len(x)], cls[a : a + BLOCK]]
+        np.exp(s, out=s)
+        out[a : a + BLOCK] = own - np.log(s @ np.ones(s.shape[1], s.dtype))
     at, groups = by_class(token, words)
     hs, tok, ww = hs.take(at, axis=0), token.take(at), np.column_stack([p["ww"], p["bw"]])
     within = np.empty(len(at), hs.dtype)
@@ -253,13 +276,18 @@ class Trainer:
         self.tokens = 0
 
     def _step(self, k: str, g: np.ndarray, rows=None) -> None:
-        w, s = (self.p[k], self.square[k]) if rows is None else (self.p[k][rows], self.square[k][rows])
-        s += g * g
-        move = np.sqrt(s)
+        some = rows is not None and not isinstance(rows, slice)
+        if some:
+            w, s = self.p[k].take(rows, axis=0), self.square[k].take(rows, axis=0)
+        else:
+            w, s = (self.p[k], self.square[k]) if rows is None else (self.p[k][rows], self.square[k][rows])
+        move = g * g
+        s += move
+        np.sqrt(s, out=move)
         np.divide(g, move, out=move)
         move *= RATE
         w -= move
-        if rows is not None and not isinstance(rows, slice):
+        if some:
             self.square[k][rows], self.p[k][rows] = s, w
 
     def learn(self, ids: np.ndarray, offsets: np.ndarray) -> None:
@@ -287,15 +315,20 @@ class Trainer:
         whole = valid.all()
         hs, tok = _with_ones(states if whole else states[valid]).reshape(-1, k + 1), token[valid]
         m = float(WINDOW_TRAINING * LANES_TRAINING)
-        each = np.arange(len(tok))
-        soft = _by_rows(hs, np.vstack([p["wc"], p["bc"]]))
-        cls = token_class(tok, words)
-        loss, total = _odds(soft, each * soft.shape[1] + cls)
-        share = (1 / m / total)[:, None]
-        gc = _over_rows(hs * share, soft)
+        wc, back_wc = np.vstack([p["wc"], p["bc"]]), p["wc"].T
+        cls, loss, gc, dh = token_class(tok, words), 0.0, np.zeros_like(wc), np.empty((len(tok), k), wc.dtype)
+        soft, each = np.empty((min(BLOCK, len(tok)), wc.shape[1]), wc.dtype), np.arange(len(tok))
+        for a in range(0, len(tok), BLOCK):
+            x, d = hs[a : a + BLOCK], dh[a : a + BLOCK]
+            s = soft[: len(x)]
+            np.matmul(x, wc, out=s)
+            more, total = _odds(s, each[: len(x)] * s.shape[1] + cls[a : a + BLOCK])
+            loss += more
+            share = (1 / m / total)[:, None]
+            gc += (x * share).T @ s
+            np.matmul(s, back_wc, out=d)
+            d *= share
         grads: dict = {"wc": gc[:-1], "bc": gc[-1]}
-        dh = soft @ p["wc"].T
-        dh *= share
         at, groups = by_class(tok, words)
         hs, tok = hs.take(at, axis=0), tok.take(at)
         # the words of the window's classes; all others have no gradient, and a step leaves them as they are
@@ -308,19 +341,29 @@ class Trainer:
         ww[:n_own, :-1], ww[:n_own, -1] = p["ww"][own], p["bw"][own]
         ww[n_own:, :-1], ww[n_own:, -1] = 0, -np.inf  # the last class is filled up with words of no probability
         ww = ww.reshape(-1, CLASS_WORDS, k + 1)
-        soft, back, gw = np.empty((len(at), CLASS_WORDS), dh.dtype), np.empty((len(at), k), dh.dtype), np.empty((len(groups), k + 1, CLASS_WORDS), dh.dtype)
-        for i, (_, a, b) in enumerate(groups):
-            np.matmul(hs[a:b], ww[i].T, out=soft[a:b])
-        more, total = _odds(soft, each[: len(at)] * CLASS_WORDS + tok % CLASS_WORDS)
-        loss += more
-        share = (1 / m / total)[:, None]
-        hs *= share
-        for i, (_, a, b) in enumerate(groups):
-            np.matmul(soft[a:b], ww[i, :, :-1], out=back[a:b])
-            gw[i] = _over_rows(hs[a:b], soft[a:b]) if b - a > BLOCK else hs[a:b].T @ soft[a:b]
-        back *= share
+        back, gw = np.empty((len(at), k), dh.dtype), np.empty((len(groups), k + 1, CLASS_WORDS), dh.dtype)
+        soft, i = np.empty((max([BLOCK, *(b - a for _, a, b in groups)]), CLASS_WORDS), dh.dtype), 0
+        while i < len(groups):  # as many classes as have a block's rows, one at least
+            first, lo = i, groups[i][1]
+            while i < len(groups) and (i == first or groups[i][2] - lo <= BLOCK):
+                i += 1
+            hi = groups[i - 1][2]
+            s, x, d = soft[: hi - lo], hs[lo:hi], back[lo:hi]
+            for j in range(first, i):
+                _, a, b = groups[j]
+                np.matmul(hs[a:b], ww[j].T, out=s[a - lo : b - lo])
+            more, total = _odds(s, each[: hi - lo] * CLASS_WORDS + tok[lo:hi] % CLASS_WORDS)
+            loss += more
+            share = (1 / m / total)[:, None]
+            x *= share
+            for j in range(first, i):
+                _, a, b = groups[j]
+                np.matmul(s[a - lo : b - lo], ww[j, :, :-1], out=back[a:b])
+                gw[j] = _over_rows(hs[a:b], s[a - lo : b - lo]) if b - a > BLOCK else hs[a:b].T @ s[a - lo : b - lo]
+            d *= share
         grads["words"] = [(own, np.ascontiguousarray(gw[:, :-1].transpose(0, 2, 1)).reshape(-1, k)[:n_own], gw[:, -1].ravel()[:n_own])]
-        dh[at] += back
+        back += dh.take(at, axis=0)
+        dh[at] = back
         if whole:
             full = np.ascontiguousarray(dh.reshape(*before.shape, k).transpose(0, 2, 1))
         else:
@@ -336,7 +379,7 @@ class Trainer:
         np.subtract(1, r, out=rest)
         rest *= r
         inner *= rest  # to r
-        dx, dg = np.empty((*before.shape, 3 * k), dh.dtype), np.empty(gates.shape[1:], dh.dtype)
+        dx, dg = np.empty((*before.shape, 3 * k), dh.dtype), np.empty((3 * k, before.shape[1] + 8), dh.dtype)[:, :-8]  # rows apart by no power of two: it is read by columns
         dz, dr, dn = dg[:k], dg[k : 2 * k], dg[2 * k :]
         du, carry, through = np.zeros_like(p["u"]), np.zeros_like(inner[0]), np.empty_like(inner[0])
         for t in range(len(before) - 1, -1, -1):
@@ -354,13 +397,7 @@ class Trainer:
             if some[t]:
                 carry[:, new[t]] = 0
         grads["u"] = du
-        rows = before.ravel()
-        order = np.argsort(_short(rows, begin), kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        flat = dx.reshape(-1, 3 * k).take(order, axis=0)
-        # columns are summed one by one, so two of them as one complex column take half the time
-        grads["x"] = (rows[first], np.add.reduceat(flat.view(np.result_type(flat.dtype, np.complex64)), first, axis=0).view(flat.dtype))
+        grads["x"] = _summed(before.ravel(), dx.reshape(-1, 3 * k), begin)
         return grads, last, loss / m
 
     def _window(self, before: np.ndarray, token: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -277,3 +277,34 @@ def test_texts_learned_from_become_tokens_once_for_their_scores_too(spark, monke
     got = {r.doc_id: r for r in L.score_documents(docs).collect()}
     assert sum("text" in x for x in inputs) == 2  # to be counted, and for training and scores
     assert got.keys() == want.keys() and all(got[i][:6] == want[i][:6] and abs(got[i].score - want[i].score) < 1e-3 * max(1, abs(want[i].score)) for i in want)
+
+
+def test_softmaxes_hold_a_block_of_rows(monkeypatch):
+    """A window's logits stay in the near caches; sums and gradients are those of rows taken at once."""
+    words, rng, sizes = 5 * R.CLASS_WORDS, np.random.default_rng(9), []
+    p = {k: v.astype(np.float64) for k, v in R.start(np.arange(words + 4, 0, -1.0), 4).items()}
+    before, token = (rng.integers(0, words + 4, (16, 40)).astype(np.int32) for _ in range(2))
+    valid, h = rng.random((16, 40)) < 0.9, rng.standard_normal((40, R.HIDDEN))
+    odds = R._odds
+    monkeypatch.setattr(R, "_odds", lambda x, own: sizes.append(len(x)) or odds(x, own))
+    monkeypatch.setattr(R, "BLOCK", 10_000)
+    whole, _, loss = R.Trainer(p, words, 4).gradients(before, token, valid, h)
+    states = rng.standard_normal((640, R.HIDDEN))
+    lp = R.log_probabilities(p, states, token.ravel(), words)
+    assert sizes == [valid.sum(), (token[valid] < words).sum()]
+    sizes.clear()
+    monkeypatch.setattr(R, "BLOCK", 150)
+    got, _, value = R.Trainer(p, words, 4).gradients(before, token, valid, h)
+    assert max(sizes) <= 150 and len(sizes) > 6 and np.isclose(value, loss, rtol=1e-12)
+    for a, b in [*((whole[k], got[k]) for k in ("u", "wc", "bc")), *zip(whole["x"], got["x"]), *zip(whole["words"][0][1:], got["words"][0][1:])]:
+        assert np.allclose(a, b, rtol=1e-5, atol=1e-12)
+    assert np.allclose(lp, R.log_probabilities(p, states, token.ravel(), words))
+
+
+def test_rows_of_a_name_are_summed():
+    rng = np.random.default_rng(3)
+    for names in (np.repeat([7, 0, 2, 900], [3 * R.FEW_ROWS, R.FEW_ROWS, R.FEW_ROWS + 1, 1]), rng.zipf(1.4, 3000) % 500, np.zeros(5, int), np.arange(9)):
+        names, x = rng.permutation(names).astype(np.int32), rng.standard_normal((len(names), 6))
+        got, sums = R._summed(names, x, 1000)
+        assert sorted(got) == sorted(set(names.tolist()))
+        assert all(np.allclose(s, x[names == n].sum(axis=0)) for n, s in zip(got, sums))
